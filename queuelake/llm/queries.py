@@ -7,6 +7,7 @@ from importlib import import_module
 #: query -> (module, function, name of its SQL in the module or None)
 _OPS = {
     "op1_url_filter": ("url_filter", "op1_url_filter", "ORACLE"),
+    "op9_pii": ("pii", "op9_pii", None),
 }
 
 
