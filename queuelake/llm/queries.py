@@ -8,6 +8,7 @@ from importlib import import_module
 _OPS = {
     "op1_url_filter": ("url_filter", "op1_url_filter", "ORACLE"),
     "op9_pii": ("pii", "op9_pii", None),
+    "op4_licenses": ("licenses", "op4_licenses", None),
 }
 
 
