@@ -9,6 +9,7 @@ _OPS = {
     "op1_url_filter": ("url_filter", "op1_url_filter", "ORACLE"),
     "op9_pii": ("pii", "op9_pii", None),
     "op4_licenses": ("licenses", "op4_licenses", None),
+    "op3_packing": ("packing", "op3_packing", None),
 }
 
 
