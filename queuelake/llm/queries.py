@@ -10,6 +10,7 @@ _OPS = {
     "op9_pii": ("pii", "op9_pii", None),
     "op4_licenses": ("licenses", "op4_licenses", None),
     "op3_packing": ("packing", "op3_packing", None),
+    "op2_sharding": ("sharding", "op2_sharding", None),
 }
 
 
