@@ -11,6 +11,7 @@ _OPS = {
     "op4_licenses": ("licenses", "op4_licenses", None),
     "op3_packing": ("packing", "op3_packing", None),
     "op2_sharding": ("sharding", "op2_sharding", None),
+    "op8_language_id": ("langid", "op8_language_id", None),
 }
 
 
