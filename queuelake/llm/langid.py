@@ -32,6 +32,8 @@ TRAIN_A_LANG, EPOCHS, BATCH, RATE, SEED = 1500, 8, 64, 0.004, 11
 UND = "und"
 #: Documents whose lower-cased bytes are windowed at once.
 BATCH_DOCS = 128
+#: Windows that go through the network at once: their responses stay in the cache.
+BATCH_WINDOWS = 32
 SPACE = 32
 #: Bytes that are no letters -> space; A-Z -> a-z; others (UTF-8 of other letters) stay.
 FOLD = np.array([b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else SPACE for b in range(256)], np.uint8)
@@ -65,12 +67,12 @@ class Model:
 
     def log_probs(self, x: np.ndarray, tables: dict[int, list[np.ndarray]]) -> np.ndarray:
         """Of windows (n x WINDOW)."""
-        best = []
+        best, x = [], x.astype(np.intp)
         for w, rows in tables.items():
             n = x.shape[1] - w + 1
-            total = rows[0][x[:, :n]]
+            total = rows[0].take(x[:, :n], axis=0)
             for j in range(1, w):
-                total += rows[j][x[:, j : j + n]]
+                total += rows[j].take(x[:, j : j + n], axis=0)
             best.append(total.max(axis=1))
         z = np.maximum(np.concatenate(best, axis=1) + self.bias, 0) @ self.dense + self.dense_bias
         z -= z.max(axis=1, keepdims=True)
@@ -145,10 +147,10 @@ def predict(model: Model | None, texts: list[str | None], tables=None) -> tuple[
     x, held, owner = np.concatenate(xs), np.concatenate(held), np.array(owner)
     total = np.zeros((len(texts), len(model.langs)))
     mass = np.zeros(len(texts))
-    for at in range(0, len(x), 256):
-        logp = model.log_probs(x[at : at + 256], tables)
-        np.add.at(total, owner[at : at + 256], logp * held[at : at + 256, None])
-        np.add.at(mass, owner[at : at + 256], held[at : at + 256])
+    for at in range(0, len(x), BATCH_WINDOWS):
+        now = slice(at, at + BATCH_WINDOWS)
+        np.add.at(total, owner[now], model.log_probs(x[now], tables) * held[now, None])
+        np.add.at(mass, owner[now], held[now])
     for i in use:
         mean = np.exp((total[i] - total[i].max()) / mass[i])
         k = int(np.argmax(total[i]))
