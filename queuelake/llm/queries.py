@@ -12,6 +12,7 @@ _OPS = {
     "op3_packing": ("packing", "op3_packing", None),
     "op2_sharding": ("sharding", "op2_sharding", None),
     "op8_language_id": ("langid", "op8_language_id", None),
+    "op10_fingerprints": ("spotsigs", "op10_fingerprints", None),
 }
 
 
