@@ -13,6 +13,7 @@ _OPS = {
     "op2_sharding": ("sharding", "op2_sharding", None),
     "op8_language_id": ("langid", "op8_language_id", None),
     "op10_fingerprints": ("spotsigs", "op10_fingerprints", None),
+    "op6_decontamination": ("decontaminate", "op6_decontamination", None),
 }
 
 
