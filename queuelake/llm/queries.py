@@ -14,6 +14,7 @@ _OPS = {
     "op8_language_id": ("langid", "op8_language_id", None),
     "op10_fingerprints": ("spotsigs", "op10_fingerprints", None),
     "op6_decontamination": ("decontaminate", "op6_decontamination", None),
+    "op5_minhash": ("neardup", "op5_minhash", None),
 }
 
 
