@@ -168,9 +168,13 @@ def fit(docs: DataFrame, most: int = TRAIN_A_LANG) -> Model | None:
     n = F.length("text")
     start = F.pmod(F.xxhash64(F.lit("place"), "doc_id"), F.greatest(n - WINDOW // 2, F.lit(1)))
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(~is_held_out(F.col("doc_id")), F.lit(True)) & F.col("text").rlike(r"\p{L}"))
-    ranked = known.select("lang", by.alias("by"), F.substring(F.col("text"), start.cast("int") + 1, F.lit(WINDOW)).alias("part"))
+    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}  # a row a language
+    # rows of hashes below three times the share that is wanted: enough for the rank below, and as many for any size of the corpus
+    share = docs.sparkSession.createDataFrame([(k, min(1.0, 3 * most / n)) for k, n in counts.items()], "lang string, share double")
+    few = known.withColumn("by", by).join(F.broadcast(share), "lang").filter(F.pmod("by", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    ranked = few.select("lang", "by", F.substring(F.col("text"), start.cast("int") + 1, F.lit(WINDOW)).alias("part"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("by", "part"))
-    rows = ranked.withColumn("rank", rank).filter(F.col("rank") <= most).select("lang", "part").collect()  # most windows a language; the rank is limited before the shuffle
+    rows = ranked.withColumn("rank", rank).filter(F.col("rank") <= most).select("lang", "part").collect()  # most windows a language
     return train([r.part.encode() for r in rows], [r.lang for r in rows]) if rows else None
 
 
