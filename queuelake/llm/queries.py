@@ -15,6 +15,7 @@ _OPS = {
     "op10_fingerprints": ("spotsigs", "op10_fingerprints", None),
     "op6_decontamination": ("decontaminate", "op6_decontamination", None),
     "op5_minhash": ("neardup", "op5_minhash", None),
+    "op7_secrets": ("secrets", "op7_secrets", None),
 }
 
 
