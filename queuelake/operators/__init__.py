@@ -1,0 +1,4 @@
+"""Operators by family; importing this package registers their queries."""
+
+from queuelake.operators import joins, latest, rollup  # noqa: F401
+from queuelake.registry import REGISTRY  # noqa: F401
