@@ -173,8 +173,15 @@ def forecasts(spark, sf, hours: int = 48) -> DataFrame:
     log = queue_log(spark, sf)
     a = log.filter("event_type = 'click'").select(F.col("event_id").alias("target_id"), "entity_id", F.col("ts").alias("target"), F.col("value").alias("actual"))
     b = log.filter("event_type = 'view'").select("event_id", "entity_id", F.col("ts").alias("made"), F.col("value").alias("forecast"))
+    return made_before(a, b, ["entity_id"], hours)
+
+
+def made_before(targets: DataFrame, made: DataFrame, keys: list[str], hours: int) -> DataFrame:
+    """Pairs of targets (target) and rows made (made) up to some hours before, with their lead: an equi-join on key and time bucket."""
+    bucket = lambda c: F.floor(F.unix_micros(c) / (hours * 3_600_000_000))
+    a = targets.withColumn("_b", F.explode(F.array(bucket(F.col("target")) - 1, bucket(F.col("target")))))
     lead = (F.unix_micros("target") - F.unix_micros("made")) / 3.6e9
-    return a.join(b, "entity_id").withColumn("lead_h", lead).filter((F.col("lead_h") > 0) & (F.col("lead_h") <= hours))
+    return a.join(made.withColumn("_b", bucket(F.col("made"))), [*keys, "_b"]).drop("_b").withColumn("lead_h", lead).filter((F.col("lead_h") > 0) & (F.col("lead_h") <= hours))
 
 
 @query("jn14_forced_lead", f"WITH {Q}, {_FC} SELECT target_id, CAST(l AS DOUBLE) AS lead, event_id FROM fc, (VALUES (1), (3), (6)) t(l) WHERE abs(lead_h - l) <= 0.5 QUALIFY row_number() OVER (PARTITION BY target_id, l ORDER BY abs(lead_h - l), lead_h DESC, event_id) = 1")
