@@ -22,7 +22,6 @@ their own text; extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, materialize, table
+from .common import materialize, table
 from .components import components
 
 SHINGLE, LEAST = 5, 75
@@ -39,9 +38,6 @@ HASHES = BANDS * BAND_ROWS
 SMALL = 16
 #: Minima whose bits agree: a pair of similarity s agrees in (1 + s) / 2 of them, with binomial noise.
 LEAST_BITS = int(HASHES * (1 + LEAST / 100) / 2 - 4.5 * (HASHES * (1 + LEAST / 100) / 2 * (1 - LEAST / 100) / 2) ** 0.5)
-WORD = re.compile("[^\x20\x09-\x0d]+")
-LOWER = str.maketrans(UPPER, UPPER.lower())
-HELD_WORDS = 300_000
 _RND = np.random.default_rng(20240131)
 _A = _RND.integers(0, 2**31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RND.integers(0, 2**32, HASHES, np.uint64).astype(np.uint32)
@@ -55,27 +51,50 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 2**64)
+
+
 class Shingler:
-    """Texts -> sorted distinct 64-bit hashes of their shingles."""
+    """Texts -> sorted distinct 64-bit hashes of their shingles, all words of a text at once.
+
+    A word's hash is its part of a polynomial over the text's bytes, shifted back to the word's start: BASE is odd, so it has an inverse.
+    """
 
     def __init__(self):
-        self.held: dict[str, int] = {}
+        self.up = self.back = np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if n > len(self.up):
+            n = max(n, 2 * len(self.up))
+            with np.errstate(over="ignore"):
+                for name, base in (("up", _BASE), ("back", _BACK)):
+                    row = np.full(n, base, np.uint64)
+                    row[0] = 1
+                    setattr(self, name, np.multiply.accumulate(row))
+
+    def words(self, text: str) -> np.ndarray:
+        data = np.frombuffer(text.encode().lower(), np.uint8)  # of bytes, lower() is of A-Z alone
+        if not len(data):
+            return np.zeros(0, np.uint64)
+        self._powers(len(data) + 1)
+        edge = np.diff(np.concatenate([[True], _SPACE[data], [True]]).astype(np.int8))
+        start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], out=total[1:])
+        return _mix((total[end] - total[start]) * self.back[start])
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = WORD.findall((text or "").translate(LOWER))
-        if not words:
-            return np.zeros(0, np.uint64)
-        if len(self.held) > HELD_WORDS:
-            self.held.clear()
-        held = self.held
-        for w in set(words) - held.keys():
-            held[w] = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-        h = np.fromiter(map(held.__getitem__, words), np.uint64, len(words))
-        n = max(1, len(h) - SHINGLE + 1)
-        out = np.full(n, min(len(h), SHINGLE), np.uint64)
-        for j in range(min(SHINGLE, len(h))):
-            out = _mix(out * _PLACE[j] + h[j : j + n])
-        return np.unique(out)
+        h = self.words(text or "")
+        if not len(h):
+            return h
+        n, k = max(1, len(h) - SHINGLE + 1), min(len(h), SHINGLE)
+        out = np.full(n, k, np.uint64)
+        for j in range(k):
+            out += h[j : j + n] * _PLACE[j]
+        return np.unique(_mix(out))
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
