@@ -192,9 +192,9 @@ _SEG = "(VALUES ('all'), ('busy'), ('mid'), ('quiet')) s(segment), (VALUES ('all
 _ON = "(segment = 'all' OR (segment = 'busy' AND actual >= 300) OR (segment = 'mid' AND actual >= 100 AND actual < 300) OR (segment = 'quiet' AND actual < 100)) AND (lead = 'all' OR (lead = '<=3h' AND lead_h <= 3) OR (lead = '3-6h' AND lead_h > 3 AND lead_h <= 6) OR (lead = '>6h' AND lead_h > 6))"
 
 
-@query("mq18_intraday_board", f"WITH {Q}, {_FC}, m AS (SELECT 'view' AS model, forecast AS p, actual, lead_h FROM fc UNION ALL SELECT 'half', forecast * 0.7, actual, lead_h FROM fc) SELECT model, segment, lead, count(*) AS n, round(avg(abs(p - actual)), 4) AS mae, round(avg(p - actual), 4) AS bias, round(avg(p), 4) AS mean_p, round(avg(actual), 4) AS mean_y FROM m, {_SEG} WHERE {_ON} GROUP BY 1, 2, 3")
+@query("mq18_intraday_board", f"WITH {Q}, {_FC}, m AS (SELECT 'view' AS model, forecast AS p, actual, lead_h FROM fc UNION ALL SELECT 'half', forecast * 0.71337, actual, lead_h FROM fc) SELECT model, segment, lead, count(*) AS n, round(avg(abs(p - actual)), 4) AS mae, round(avg(p - actual), 4) AS bias, round(avg(p), 4) AS mean_p, round(avg(actual), 4) AS mean_y FROM m, {_SEG} WHERE {_ON} GROUP BY 1, 2, 3")
 def mq18(spark, sf):
-    rows = forecasts(spark, sf).withColumns({"view": F.col("forecast"), "half": F.col("forecast") * 0.7})
+    rows = forecasts(spark, sf).withColumns({"view": F.col("forecast"), "half": F.col("forecast") * 0.71337})
     y, h = F.col("actual"), F.col("lead_h")
     return board(rows, ["view", "half"], {"all": F.lit(True), "busy": y >= 300, "mid": (y >= 100) & (y < 300), "quiet": y < 100}, {"all": F.lit(True), "<=3h": h <= 3, "3-6h": (h > 3) & (h <= 6), ">6h": h > 6})
 
