@@ -1,4 +1,4 @@
 """Operators by family; importing this package registers their queries."""
 
-from queuelake.operators import joins, latest, lookup, quality, rollup, windows  # noqa: F401
+from queuelake.operators import joins, latest, lookup, quality, rollup, stats, windows  # noqa: F401
 from queuelake.registry import REGISTRY  # noqa: F401
