@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: every node has one parent, and no parent has one. Stars that shared a component would share a node."""
+    up = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    down = edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    nodes = up.unionByName(down).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.filter((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).isEmpty()
 
 
 def _star(links: DataFrame, larger: bool) -> DataFrame:
@@ -32,13 +36,11 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     Every round is O(edges) work and shuffle, and rounds are about the logarithm of the longest path; each is cut off by a written table.
     """
     now = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), "edges")
-    mark = _mark(now)
     for _ in range(most_rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        now = _star(_star(both, True).select("u", "v"), False)
-        if (new := _mark(now)) == mark:
+        if _settled(now):
             break
-        mark = new
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        now = _star(_star(both, True), False)
     else:
         raise RuntimeError("components didn't settle")
     roots = now.select(F.col("v").alias("node")).distinct()
