@@ -27,7 +27,8 @@ def _star(links: DataFrame, larger: bool) -> DataFrame:
         out = tied.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return materialize(out.filter(F.col("u") != F.col("v")).distinct(), "edges")
+    out = out.filter(F.col("u") != F.col("v"))
+    return materialize(out if larger else out.distinct(), "edges")  # copies do no harm in between
 
 
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:

@@ -8,7 +8,7 @@
    member; buckets of up to SMALL members, with all. That is linear in bucket rows. What larger buckets may lack by that is in step 5.
 3. Pairs whose signatures agree too seldom are dropped: the bound is 4.5 deviations below what 0.75 gives.
 4. Pairs are confirmed on the full sets, read again from the texts of the nodes concerned alone. Only pairs between different components of what
-   is confirmed already are, the likeliest of each node first, in rounds; the last round takes all that are left.
+   is confirmed already are, the likeliest of each node first, then all that are left.
 5. In larger buckets that still hold several components, members outside the bucket's main component are paired with all the others of other
    components, and go through 3 and 4. So every pair that shares a bucket is either confirmed, refuted, or inside one component.
 
@@ -194,7 +194,7 @@ def _resolve(pairs: DataFrame, sets: DataFrame, links: DataFrame | None, comps:
     return links, comps
 
 
-def near_components(docs: DataFrame, rounds: int = 2) -> DataFrame:
+def near_components(docs: DataFrame, rounds: int = 1) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(texts.mapInArrow(_sign, SIGNED), "signed")
@@ -226,7 +226,7 @@ def near_components(docs: DataFrame, rounds: int = 2) -> DataFrame:
     rest = _rest(members, many, comps)
     more = materialize(_alike(_unordered(rest), nodes).join(tested.select("u", "v"), ["u", "v"], "left_anti"), "alike")
     if not more.isEmpty():
-        _, comps = _resolve(more, sets_of(more), links, comps, rounds)
+        _, comps = _resolve(more, sets_of(more), links, comps, 0)
 
     if comps is None:
         ids = reps.select("node", F.col("rep").alias("component_id"))
