@@ -41,13 +41,16 @@ def within_edits(a: Column, b: Column, most: int) -> Column:
     return F.when(d >= 0, d)
 
 
-@F.pandas_udf("string")
-def fold(text: pd.Series) -> pd.Series:
-    """Lower case without marks of any script, and ss for its ligature."""
+def _folded(text: pd.Series) -> pd.Series:
     plain = lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFD", t.lower().replace("ß", "ss")) if not unicodedata.combining(c))
     return text.map(plain)
 
 
+def fold(text: Column) -> Column:
+    """Lower case without marks of any script, and ss for its ligature."""
+    return F.pandas_udf(_folded, "string")(text)
+
+
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Kilometres."""
     dlat, dlon = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2

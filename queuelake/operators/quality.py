@@ -10,17 +10,18 @@ from queuelake.operators.latest import first_per
 from queuelake.plans.adaptor import Q, queue_log, r4
 from queuelake.registry import query
 
-ERR = F.col("predicted") - F.col("actual")
+def err() -> Column:
+    return F.col("predicted") - F.col("actual")
 
 
 def errors(by: list[str], rows: DataFrame, least_actual: float = 10) -> DataFrame:
     """rows (predicted, actual or null) -> totals, coverage, MAE, MAPE over actuals from ``least_actual``, RMSE, bias and R2, from sums."""
     out = rows.groupBy(*by) if by else rows.groupBy()
-    sse, n = F.sum(ERR * ERR), F.count("actual")
+    sse, n = F.sum(err() * err()), F.count("actual")
     sst = F.sum(F.col("actual") * F.col("actual")) - F.sum("actual") * F.sum("actual") / F.nullif(n.cast("double"), F.lit(0.0))
     return out.agg(
-        F.count(F.lit(1)).alias("total"), n.alias("n"), r4(F.avg(F.abs(ERR))).alias("mae"), r4(F.avg(F.when(F.col("actual") >= least_actual, F.abs(ERR) / F.col("actual"))) * 100).alias("mape"),
-        r4(F.sqrt(F.avg(ERR * ERR))).alias("rmse"), r4(F.avg(ERR)).alias("bias"), r4(1 - sse / F.nullif(sst, F.lit(0.0))).alias("r2"), r4(100.0 * n / F.count(F.lit(1))).alias("coverage"),
+        F.count(F.lit(1)).alias("total"), n.alias("n"), r4(F.avg(F.abs(err()))).alias("mae"), r4(F.avg(F.when(F.col("actual") >= least_actual, F.abs(err()) / F.col("actual"))) * 100).alias("mape"),
+        r4(F.sqrt(F.avg(err() * err()))).alias("rmse"), r4(F.avg(err())).alias("bias"), r4(1 - sse / F.nullif(sst, F.lit(0.0))).alias("r2"), r4(100.0 * n / F.count(F.lit(1))).alias("coverage"),
     )
 
 
@@ -54,7 +55,7 @@ def mq3(spark, sf):
 
 def error_shares(rows: DataFrame, by: Column, high: float = 200, low: float = 50, least: int = 3) -> DataFrame:
     """How often errors are high or low in each value of a feature."""
-    e = F.abs(ERR)
+    e = F.abs(err())
     out = rows.filter(F.col("actual").isNotNull()).groupBy(by.alias("value")).agg(F.count(F.lit(1)).alias("n"), F.count_if(e > high).alias("high"), F.count_if(e <= low).alias("low"))
     return out.filter(F.col("n") >= least).withColumn("high_rate", r4(F.col("high") / F.col("n")))
 
@@ -66,7 +67,7 @@ def mq4(spark, sf):
 
 def performers(rows: DataFrame, least: int, k: int) -> DataFrame:
     """The k best and worst rides by MAE among those with enough rows and some spread."""
-    per = rows.filter(F.col("actual").isNotNull()).groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"), r4(F.avg(F.abs(ERR))).alias("mae"), F.avg("actual").alias("mean"), F.stddev_samp("actual").alias("sd")).filter((F.col("n") >= least) & (F.col("mean") >= 10) & (F.col("sd") >= 8))
+    per = rows.filter(F.col("actual").isNotNull()).groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"), r4(F.avg(F.abs(err()))).alias("mae"), F.avg("actual").alias("mean"), F.stddev_samp("actual").alias("sd")).filter((F.col("n") >= least) & (F.col("mean") >= 10) & (F.col("sd") >= 8))
     top = lambda order, kind: per.orderBy(*order).limit(k).select(F.lit(kind).alias("kind"), "entity_id", "mae")
     return top(["mae", "entity_id"], "best").unionByName(top([F.desc("mae"), "entity_id"], "worst"))
 
@@ -116,7 +117,7 @@ def mq10(spark, sf):
 
 @query("mq11_weighted_mae", f"WITH {CMP}, d AS (SELECT CAST(ts AS DATE) AS d, count(y) AS n, avg(abs(p - y)) AS mae FROM cmp GROUP BY 1) SELECT round(sum(mae * n) / nullif(sum(n), 0), 4) AS mae, CAST(sum(n) AS BIGINT) AS n FROM d")
 def mq11(spark, sf):
-    d = with_actuals(spark, sf).groupBy(F.to_date("target").alias("d")).agg(F.count("actual").alias("n"), F.avg(F.abs(ERR)).alias("mae"))
+    d = with_actuals(spark, sf).groupBy(F.to_date("target").alias("d")).agg(F.count("actual").alias("n"), F.avg(F.abs(err())).alias("mae"))
     return d.agg(r4(F.sum(F.col("mae") * F.col("n")) / F.nullif(F.sum("n"), F.lit(0))).alias("mae"), F.sum("n").alias("n"))
 
 
@@ -129,7 +130,7 @@ def model_drift(daily: DataFrame, trained: Column, days: int = 7) -> DataFrame:
 
 @query("mq12_model_drift", f"WITH {CMP}, d AS (SELECT CAST(ts AS DATE) AS d, avg(abs(p - y)) AS mae FROM cmp WHERE y IS NOT NULL GROUP BY 1 ORDER BY 1 DESC LIMIT 7), l AS (SELECT avg(mae) AS live FROM d) SELECT round(live, 4) AS live, round((live - 130) / 130 * 100, 4) AS drift, CASE WHEN (live - 130) / 130 * 100 >= 30 THEN 'critical' WHEN (live - 130) / 130 * 100 >= 20 THEN 'warning' ELSE 'ok' END AS band FROM l")
 def mq12(spark, sf):
-    d = with_actuals(spark, sf).filter(F.col("actual").isNotNull()).groupBy(F.to_date("target").alias("day")).agg(F.avg(F.abs(ERR)).alias("mae"))
+    d = with_actuals(spark, sf).filter(F.col("actual").isNotNull()).groupBy(F.to_date("target").alias("day")).agg(F.avg(F.abs(err())).alias("mae"))
     return model_drift(d, F.lit(130.0))
 
 
@@ -154,7 +155,7 @@ def anomalies(rows: DataFrame, sigmas: float = 3.0, most_error: float = 50.0) ->
     """Actuals far above the mean of the positive ones, and large errors; the first of each ride, kind and hour. No positive actuals, no rows."""
     stats = rows.filter(F.col("actual") > 0).agg(F.avg("actual").alias("m"), F.stddev_pop("actual").alias("s"))
     z = (F.col("actual") - F.col("m")) / F.nullif(F.col("s"), F.lit(0.0))
-    kinds = F.filter(F.array(F.when(z > sigmas, F.struct(F.lit("extreme").alias("kind"), F.least(F.lit(100.0), z / 3 * 100).alias("score"))), F.when(F.abs(ERR) > most_error, F.struct(F.lit("error").alias("kind"), F.least(F.lit(100.0), F.abs(ERR)).alias("score")))), lambda x: x.isNotNull())
+    kinds = F.filter(F.array(F.when(z > sigmas, F.struct(F.lit("extreme").alias("kind"), F.least(F.lit(100.0), z / 3 * 100).alias("score"))), F.when(F.abs(err()) > most_error, F.struct(F.lit("error").alias("kind"), F.least(F.lit(100.0), F.abs(err())).alias("score")))), lambda x: x.isNotNull())
     found = rows.filter(F.col("actual").isNotNull()).crossJoin(F.broadcast(stats)).withColumn("a", F.explode(kinds)).select("left_id", "entity_id", "target", "a.*")
     return first_per(found.withColumn("hour", F.date_format("target", "yyyy-MM-dd HH")), ["entity_id", "kind", "hour"], "target", "left_id")
 
@@ -166,7 +167,7 @@ def mq14(spark, sf):
 
 @query("mq15_deviation_flag", f"WITH {CMP} SELECT event_id AS left_id, abs(p - y) > 10 OR abs(p - y) / nullif(p, 0) > 0.2 AS deviates FROM cmp WHERE y IS NOT NULL")
 def mq15(spark, sf):
-    return with_actuals(spark, sf).filter(F.col("actual").isNotNull()).select("left_id", ((F.abs(ERR) > 10) | (F.abs(ERR) / F.nullif(F.col("predicted"), F.lit(0.0)) > 0.2)).alias("deviates"))
+    return with_actuals(spark, sf).filter(F.col("actual").isNotNull()).select("left_id", ((F.abs(err()) > 10) | (F.abs(err()) / F.nullif(F.col("predicted"), F.lit(0.0)) > 0.2)).alias("deviates"))
 
 
 def alerts(stats: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Sinks: append with quarantine, keyed writes, updates, deletes by day, logs. Tables are folders of Parquet.
 
-A keyed write makes a new version of the table beside the old one and then moves the pointer (a small text file of the version's name), so readers
+A keyed write makes a new version of the table beside the old one and then moves the pointer (current.txt, a text file of the version's name), so readers
 and a writer that fails half-way see a whole table.
 """
 
@@ -46,7 +46,7 @@ def updated(held: DataFrame, changes: DataFrame, key: str, columns: list[str]) -
 
 def _pointer(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(f"{path}/_current")
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/current.txt")
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
