@@ -46,9 +46,9 @@ def bridge_days(holidays: DataFrame, key: str) -> DataFrame:
     return cand.join(holidays.select(key, "day").distinct(), [key, "day"], "left_anti")
 
 
-@query("fp4_bridge_days", "WITH h AS (SELECT DISTINCT user_id % 4 AS k, CAST(ts AS DATE) AS day FROM events WHERE value > 420), c AS (SELECT DISTINCT k, CASE WHEN extract(dow FROM day) = 4 THEN day + 1 WHEN extract(dow FROM day) = 2 THEN day - 1 END AS day FROM h) SELECT k, strftime(day, '%Y-%m-%d') AS day FROM c WHERE day IS NOT NULL AND NOT EXISTS (SELECT 1 FROM h WHERE h.k = c.k AND h.day = c.day)")
+@query("fp4_bridge_days", "WITH h AS (SELECT DISTINCT user_id % 4 AS k, CAST(ts AS DATE) AS day FROM events WHERE value > 200 AND event_type = 'error'), c AS (SELECT DISTINCT k, CASE WHEN extract(dow FROM day) = 4 THEN day + 1 WHEN extract(dow FROM day) = 2 THEN day - 1 END AS day FROM h) SELECT k, strftime(day, '%Y-%m-%d') AS day FROM c WHERE day IS NOT NULL AND NOT EXISTS (SELECT 1 FROM h WHERE h.k = c.k AND h.day = c.day)")
 def fp4(spark, sf):
-    h = read(spark, sf, "events").filter("value > 420").select((F.col("user_id") % 4).alias("k"), F.to_date("ts").alias("day")).distinct()
+    h = read(spark, sf, "events").filter("value > 200 AND event_type = 'error'").select((F.col("user_id") % 4).alias("k"), F.to_date("ts").alias("day")).distinct()
     return bridge_days(h, "k").select("k", F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
