@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -26,7 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not held:
         held = spark.sparkContext.getCheckpointDir()
     if not held:
-        held = f"file://{tempfile.mkdtemp(prefix='queuelake-')}"
+        own = tempfile.mkdtemp(prefix="queuelake-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        held = f"file://{own}"
         spark.sparkContext.setCheckpointDir(held)
     return held.rstrip("/")
 

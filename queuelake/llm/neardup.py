@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, table
@@ -145,12 +145,17 @@ def _unordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct()
 
 
+def _agree(a: str, b: str) -> Column:
+    """The bits in which two signatures agree."""
+    differ = [F.bit_count(F.element_at(a, i).bitwiseXOR(F.element_at(b, i))) for i in range(1, HASHES // 64 + 1)]
+    return HASHES - sum(differ[1:], differ[0])
+
+
 def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (u, v) whose signatures agree often enough, with the number of bits that do."""
     bits = nodes.select("node", "bits")
     both = pairs.join(bits.select(F.col("node").alias("u"), F.col("bits").alias("ub")), "u").join(bits.select(F.col("node").alias("v"), F.col("bits").alias("vb")), "v")
-    differ = sum((F.bit_count(F.element_at("ub", i).bitwiseXOR(F.element_at("vb", i))) for i in range(2, HASHES // 64 + 1)), F.bit_count(F.element_at("ub", 1).bitwiseXOR(F.element_at("vb", 1))))
-    return both.withColumn("agree", HASHES - differ).filter(F.col("agree") >= LEAST_BITS).select("u", "v", "agree")
+    return both.withColumn("agree", _agree("ub", "vb")).filter(F.col("agree") >= LEAST_BITS).select("u", "v", "agree")
 
 
 def _across(pairs: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -223,8 +228,8 @@ def near_components(docs: DataFrame, rounds: int = 1) -> DataFrame:
         return materialize(texts.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
 
     links, comps = _resolve(tested, sets_of(tested), None, None, rounds)
-    rest = _rest(members, many, comps)
-    more = materialize(_alike(_unordered(rest), nodes).join(tested.select("u", "v"), ["u", "v"], "left_anti"), "alike")
+    rest = _rest(members, many, comps, nodes)
+    more = materialize(rest.join(tested.select("u", "v"), ["u", "v"], "left_anti"), "alike")
     if not more.isEmpty():
         _, comps = _resolve(more, sets_of(more), links, comps, 0)
 
@@ -239,8 +244,11 @@ def near_components(docs: DataFrame, rounds: int = 1) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def _rest(members: DataFrame, many: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Pairs inside buckets of more than SMALL members: those outside the bucket's largest component with all that are in another than theirs."""
+def _rest(members: DataFrame, many: DataFrame, comps: DataFrame | None, nodes: DataFrame) -> DataFrame:
+    """Pairs inside buckets of more than SMALL members: those outside the bucket's largest component with all that are in another than theirs.
+
+    The signatures are compared in the join's condition, so a pair that they rule out is never a row.
+    """
     rows = members.join(many, "band", "left_semi").select("band", "node")
     if comps is None:
         rows = rows.withColumn("component", F.col("node"))
@@ -249,8 +257,13 @@ def _rest(members: DataFrame, many: DataFrame, comps: DataFrame | None) -> DataF
     rows = materialize(rows, "rows")
     sizes = rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
     main = materialize(sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1"), "main")
-    out = rows.join(main, "band").filter("component != main").select("band", F.col("node").alias("u"), F.col("component").alias("uc"))
-    return out.join(rows.select("band", F.col("node").alias("v"), F.col("component").alias("vc")), "band").filter("uc != vc").select("u", "v")
+    mixed = rows.join(main, "band").join(nodes, "node")
+    out = mixed.filter("component != main").select("band", F.col("node").alias("u"), F.col("component").alias("uc"), F.col("bits").alias("ub"))
+    every = mixed.select("band", F.col("node").alias("v"), F.col("component").alias("vc"), F.col("bits").alias("vb"), F.col("main").alias("vm"))
+    # of two that are both outside the main component, one order is enough
+    once = (F.col("vc") == F.col("vm")) | (F.col("u") > F.col("v"))
+    alike = materialize(out.alias("x").join(every.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("uc") != F.col("vc")) & once & (_agree("ub", "vb") >= LEAST_BITS)).select("u", "v", _agree("ub", "vb").alias("agree")), "rest")
+    return alike.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), "agree").distinct()
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
