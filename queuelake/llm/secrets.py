@@ -36,6 +36,8 @@ BESIDE = 40
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-][A-Za-z0-9+/_=.-]{15,}")
 NAMES = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "auth")
 ASSIGNED = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"']{8,200})")
+#: What is left of a value that ASSIGNED takes the first part of.
+REST = re.compile(r"[^\s\"']*")
 DICTIONARY = frozenset(
     "about access account admin after alpha answer apple auth base before beta block blue board book build call center change check city class client cloud code commit "
     "common config connect content control count create cross data date default delete demo device document domain door down dummy east edit error event example "
@@ -80,20 +82,34 @@ def features(hit: str, before: str, after: str, path: str | None) -> list[float]
     ]
 
 
-def proposals(text: str) -> list[tuple[int, int]]:
-    """Spans, by start, not overlapping: assigned values win over runs."""
-    out = []
+def assigned(text: str) -> list[tuple[int, int]]:
+    """Spans of assigned values, by start; of a value of over 200 characters its first part, and each later part that is assigned within it."""
     low = text.lower()
-    if any(n in low for n in NAMES):
-        out = [m.span(1) for m in ASSIGNED.finditer(text)]
-    taken = sorted(out)
+    return [m.span(1) for m in ASSIGNED.finditer(text)] if any(n in low for n in NAMES) else []
+
+
+def wholes(text: str, parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of assigned values that go on after their part, the spans to their ends."""
+    out = []
+    for a, b in parts:
+        if (not out or a >= out[-1][1]) and (end := REST.match(text, b).end()) > b:
+            out.append((a, end))
+    return out
+
+
+def proposals(text: str, parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans, by start, not overlapping: assigned values win over runs, and take in all of a run that they end in."""
+    out, taken = [], list(parts)
     for m in RUN.finditer(text):
         s = m[0].rstrip(".=-")
-        if len(s) >= 16 and any(c.isdigit() for c in s) and any(c.isalpha() for c in s):
-            end = m.start() + len(s)
-            if not any(a < end and m.start() < b for a, b in taken):
-                out.append((m.start(), end))
-    return sorted(out)
+        end = m.start() + len(s)
+        over = [i for i, (a, b) in enumerate(taken) if a < m.end() and m.start() < b]
+        if over:
+            a, b = taken[over[-1]]
+            taken[over[-1]] = (a, max(b, m.end()))
+        elif len(s) >= 16 and any(c.isdigit() for c in s) and any(c.isalpha() for c in s):
+            out.append((m.start(), end))
+    return sorted(out + taken)
 
 
 @dataclass
@@ -204,14 +220,25 @@ def trained(n: int = EXAMPLES) -> Forest:
     return grow(np.array([features(*r) for r in rows]), np.array(marks))
 
 
-def scan(forest: Forest, text: str | None, path: str | None) -> list[tuple[int, int, float]]:
-    """(start, end, score) of each proposal in a whole text."""
-    if not text or not (spans := proposals(text)):
+def judged(forest: Forest, text: str, path: str | None, spans: list[tuple[int, int]]) -> list[tuple[int, int, float]]:
+    if not spans:
         return []
     rows = [features(text[a:b], text[max(0, a - BESIDE) : a], text[b : b + BESIDE], path) for a, b in spans]
     return [(a, b, float(s)) for (a, b), s in zip(spans, forest.predict(np.array(rows)), strict=True)]
 
 
+def scan(forest: Forest, text: str | None, path: str | None) -> list[tuple[int, int, float]]:
+    """(start, end, score) of each proposal in a whole text. A long assigned value is one if it is a secret as a whole, else its parts are."""
+    if not text:
+        return []
+    parts = assigned(text)
+    long = [r for r in judged(forest, text, path, wholes(text, parts)) if r[2] >= SECRET_FROM]
+    spans = proposals(text, parts)
+    if long:
+        spans = [(a, b) for a, b in spans if not any(c < b and a < d for c, d, _ in long)]
+    return sorted(long + judged(forest, text, path, spans))
+
+
 def redact(forest: Forest, text: str | None, path: str | None) -> str | None:
     out, at = [], 0
     for a, b, score in scan(forest, text, path):

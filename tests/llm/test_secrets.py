@@ -45,3 +45,23 @@ def test_edges(spark):
     assert out[3].text == f'TOKEN = "{S.MASK}" and é {S.MASK}' and out[3].n_chars == len(out[3].text) and out[3].score == 1.0
     assert all(out[i].text == texts[i] and out[i].n_chars == len(texts[i] or "") for i in (0, 1, 2, 4, 5))
     assert S.findings(df.limit(0)).count() == 0 and S.redacted(df.limit(0)).columns == df.columns
+
+
+def test_long_values():
+    forest, rnd = S.trained(), np.random.default_rng(7)
+    chars = lambda k, more="": "".join(rnd.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + more), k))
+    jwt = "eyJ" + chars(120) + "." + chars(150) + "." + chars(48)
+    for value in (jwt, chars(400) + "==", chars(700, "+/"), "p@" + chars(500, "!#%&*")):
+        for name in ("token", "secret", "auth_token"):
+            text = f'{name} = "{value}" and more'
+            assert [text[a:b] for a, b, s in S.scan(forest, text, None) if s >= S.SECRET_FROM] == [value]
+            assert S.redact(forest, text, None) == f'{name} = "{S.MASK}" and more'
+    # a long value that is judged harmless hides neither what is assigned in it nor a key in it
+    class Short:
+        predict = staticmethod(lambda x: (x[:, 0] < np.log2(100)).astype(float))
+
+    key = "ghp_aB3dE5fG7hJ9kL1mN3pQ5rS7tU9vW1xY3zA5"
+    for inner in (f"password={key}", key):
+        text = "token=" + "x," * 150 + inner
+        assert [text[a:b] for a, b, s in S.scan(Short, text, None) if s >= S.SECRET_FROM] == [key]
+        assert key not in S.redact(forest, text, None)
