@@ -3,7 +3,8 @@
 Proposals are long strings with digits or mixed case, and values assigned to words such as password. A random forest, trained here in numpy
 from labelled findings, judges each by its length, its transitions between kinds of characters, its entropy, how much of it words of a
 dictionary cover, what the path of its document says, and the words beside it. The labelled findings are written by rule, with a fixed seed:
-keys and tokens of usual formats in usual places, against hashes, ids, placeholders, words and numbers in theirs (``labelled``).
+keys and tokens of usual formats in usual places, against hashes, ids, placeholders, words and numbers in theirs (``labelled``). Runs without
+a digit have a forest of their own: keys of letters alone, against capitalised words and names of several words (``lettered``).
 
 Documents are scanned where they are; no shuffle. The forest, some hundred kB, goes to the workers in the function's closure. A document's cost
 is its own length.
@@ -34,7 +35,8 @@ MASK = "[SECRET]"
 BESIDE = 40
 #: A run of key characters that starts where one may start. What makes it a proposal is tested on the run.
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-][A-Za-z0-9+/_=.-]{15,}")
-NAMES = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "auth")
+#: Each name that ASSIGNED takes holds one of these once its case is folded (its long s and Kelvin sign too, which (?i) takes for s and k).
+NAMES = ("passw", "pwd", "secret", "token", "key", "auth")
 ASSIGNED = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"']{8,200})")
 #: What is left of a value that ASSIGNED takes the first part of.
 REST = re.compile(r"[^\s\"']*")
@@ -84,7 +86,7 @@ def features(hit: str, before: str, after: str, path: str | None) -> list[float]
 
 def assigned(text: str) -> list[tuple[int, int]]:
     """Spans of assigned values, by start; of a value of over 200 characters its first part, and each later part that is assigned within it."""
-    low = text.lower()
+    low = text.casefold()
     return [m.span(1) for m in ASSIGNED.finditer(text)] if any(n in low for n in NAMES) else []
 
 
@@ -107,16 +109,17 @@ def proposals(text: str, parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
         if over:
             a, b = taken[over[-1]]
             taken[over[-1]] = (a, max(b, m.end()))
-        elif len(s) >= 16 and any(c.isdigit() for c in s) and any(c.isalpha() for c in s):
+        elif len(s) >= 16 and (any(c.isdigit() for c in s) or any(c.isupper() for c in s) and any(c.islower() for c in s)):
             out.append((m.start(), end))
     return sorted(out + taken)
 
 
 @dataclass
 class Forest:
-    """Each tree: node -> (feature, cut, left, right, share of secrets); feature -1 is a leaf."""
+    """Each tree: node -> (feature, cut, left, right, share of secrets); feature -1 is a leaf. letters judges runs without a digit, if it is there."""
 
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    letters: Forest | None = None
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         total = np.zeros(len(x))
@@ -215,16 +218,57 @@ def labelled(n: int = EXAMPLES, seed: int = SEED) -> tuple[list[tuple[str, str,
     return rows, marks
 
 
+def lettered(n: int, seed: int = SEED) -> tuple[list[tuple[str, str, str, str]], list[int]]:
+    """n findings of mixed case without a digit, about half of them keys, against capitalised words and names of several words."""
+    rnd = np.random.default_rng([seed, 1])
+    words = sorted(DICTIONARY)
+    pick = lambda xs: xs[int(rnd.integers(len(xs)))]
+    chars = lambda alphabet, k: "".join(pick(alphabet) for _ in range(k))
+    low = "abcdefghijklmnopqrstuvwxyz"
+    made = lambda: "".join(pick("bcdfghklmnprstvw") + pick("aeiou") + pick(["", "", "n", "r", "s", "t", "l"]) for _ in range(int(rnd.integers(1, 5))))
+    word = lambda: pick([pick(words), made()])
+    rows, marks = [], []
+    for _ in range(n):
+        before, quote = f"{made()} {made()} ", ""
+        key = rnd.random() < 0.5
+        if key:
+            hit = chars(low + low.upper(), pick([16, 20, 24, 32, 40, 64]))
+            if rnd.random() < 0.5:
+                quote = pick(['"', "'", ""])
+                before += f"{pick(['token', 'secret', 'password', 'api_key', 'auth_token'])}{pick([' = ', '=', ': '])}{quote}"
+        else:
+            sep, hit, least = pick(["", "", "", "_", "-", ".", "/"]), "", int(rnd.integers(16, 40))
+            if rnd.random() < 0.4:
+                while len(hit) < 16:
+                    hit += made()
+                hit = hit.capitalize()
+            else:
+                first = pick([str.lower, str.capitalize])
+                while len(hit) < least:
+                    hit += (sep + word().capitalize()) if hit else first(word())
+            before += pick(["", "", "see ", "name = ", "class ", "(", "import "])
+        rows.append((hit, before[-BESIDE:], quote + " ", pick(["src0", "src7", "app/settings.py", None])))
+        marks.append(int(key))
+    return rows, marks
+
+
 def trained(n: int = EXAMPLES) -> Forest:
-    rows, marks = labelled(n)
-    return grow(np.array([features(*r) for r in rows]), np.array(marks))
+    grown = lambda rows, marks: grow(np.array([features(*r) for r in rows]), np.array(marks))
+    forest = grown(*labelled(n))
+    forest.letters = grown(*lettered(n))
+    return forest
 
 
-def judged(forest: Forest, text: str, path: str | None, spans: list[tuple[int, int]]) -> list[tuple[int, int, float]]:
+def judged(forest: Forest, text: str, path: str | None, spans: list[tuple[int, int]], parts: list[tuple[int, int]]) -> list[tuple[int, int, float]]:
     if not spans:
         return []
-    rows = [features(text[a:b], text[max(0, a - BESIDE) : a], text[b : b + BESIDE], path) for a, b in spans]
-    return [(a, b, float(s)) for (a, b), s in zip(spans, forest.predict(np.array(rows)), strict=True)]
+    x = np.array([features(text[a:b], text[max(0, a - BESIDE) : a], text[b : b + BESIDE], path) for a, b in spans])
+    scores, starts = forest.predict(x), {a for a, _ in parts}
+    if forest.letters:
+        runs = np.array([a not in starts and not any(c.isdigit() for c in text[a:b]) for a, b in spans])
+        if runs.any():
+            scores[runs] = forest.letters.predict(x[runs])
+    return [(a, b, float(s)) for (a, b), s in zip(spans, scores, strict=True)]
 
 
 def scan(forest: Forest, text: str | None, path: str | None) -> list[tuple[int, int, float]]:
@@ -232,11 +276,11 @@ def scan(forest: Forest, text: str | None, path: str | None) -> list[tuple[int,
     if not text:
         return []
     parts = assigned(text)
-    long = [r for r in judged(forest, text, path, wholes(text, parts)) if r[2] >= SECRET_FROM]
+    long = [r for r in judged(forest, text, path, wholes(text, parts), parts) if r[2] >= SECRET_FROM]
     spans = proposals(text, parts)
     if long:
         spans = [(a, b) for a, b in spans if not any(c < b and a < d for c, d, _ in long)]
-    return sorted(long + judged(forest, text, path, spans))
+    return sorted(long + judged(forest, text, path, spans, parts))
 
 
 def redact(forest: Forest, text: str | None, path: str | None) -> str | None:

@@ -57,11 +57,36 @@ def test_long_values():
             assert [text[a:b] for a, b, s in S.scan(forest, text, None) if s >= S.SECRET_FROM] == [value]
             assert S.redact(forest, text, None) == f'{name} = "{S.MASK}" and more'
     # a long value that is judged harmless hides neither what is assigned in it nor a key in it
-    class Short:
-        predict = staticmethod(lambda x: (x[:, 0] < np.log2(100)).astype(float))
+    class Short(S.Forest):
+        def predict(self, x):
+            return (x[:, 0] < np.log2(100)).astype(float)
 
     key = "ghp_aB3dE5fG7hJ9kL1mN3pQ5rS7tU9vW1xY3zA5"
     for inner in (f"password={key}", key):
         text = "token=" + "x," * 150 + inner
-        assert [text[a:b] for a, b, s in S.scan(Short, text, None) if s >= S.SECRET_FROM] == [key]
+        assert [text[a:b] for a, b, s in S.scan(Short([]), text, None) if s >= S.SECRET_FROM] == [key]
         assert key not in S.redact(forest, text, None)
+
+
+def test_gate_passes_every_name():
+    names = ["password", "passwd", "pwd", "secret", "token", "auth", *(f"{a}{sep}key" for a in ("api", "access") for sep in ("", "_", "-"))]
+    same = {"s": "sS\u017f", "k": "kK\u212a", "i": "iI\u0130\u0131"}
+    for name in names:
+        forms = [name, name.upper(), name.title(), *(name.replace(c, x) for c, xs in same.items() for x in xs)]
+        for form in forms:
+            text = f'{form} = "p@ss!word#1"'
+            assert S.ASSIGNED.search(text) and [text[a:b] for a, b in S.proposals(text, S.assigned(text))] == ["p@ss!word#1"], form
+
+
+def test_runs():
+    of = lambda text: [text[a:b] for a, b in S.proposals(text, S.assigned(text))]
+    for run in ("aBcDeFgHiJkLmNoPqRsT", "a1b2c3d4e5f6a7b8", "1234567890123456"):
+        assert of(f"see {run} here") == [run]
+    for run in ("abcdefghijklmnopqrst", "ABCDEFGHIJKLMNOPQRST", "aBcDeFgHiJ"):
+        assert of(f"see {run} here") == []
+    key = "XkQzJvWpLmTrYbNcHdSg"
+    assert S.redact(S.trained(), f"use {key}", None) == f"use {S.MASK}"
+    rows, marks = S.lettered(2000, seed=99)
+    assert ((S.trained().letters.predict(np.array([S.features(*r) for r in rows])) >= S.SECRET_FROM) == np.array(marks)).mean() > 0.96
+    for clean in ("Donaudampfschifffahrt", "getUserAccountSettings", "AbstractSingletonProxyFactoryBean", "Vonerverkeitlich"):
+        assert S.redact(S.trained(), f"see {clean} here", None) == f"see {clean} here"
