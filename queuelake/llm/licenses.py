@@ -38,7 +38,7 @@ class Rule:
     priority: int
 
 
-#: label, keyword (a word of any match of the name), pattern of its SPDX id in words, pattern of its name in words.
+#: label, keyword (a word of any match of the name), pattern of its SPDX id in words (None: another row has it), pattern of its name in words.
 LICENSES = [
     ("apache-1.1", "apache", "apache 1 1", "apache (?:software )?licen[sc]e v(?:ersion )?1 1"),
     ("apache-2.0", "apache", "apache 2 0", "apache (?:software )?licen[sc]e (?:v|version )?2(?: 0)?"),
@@ -47,10 +47,12 @@ LICENSES = [
     ("mit-0", "mit", "mit 0", "mit no attribution(?: licen[sc]e)?"),
     ("x11", "x11", "x11", "x11 licen[sc]e"),
     ("isc", "isc", "isc", "isc licen[sc]e"),
-    ("bsd-2-clause", "bsd", "bsd 2 clause", "(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)(?: licen[sc]e)?"),
+    ("bsd-2-clause", "bsd", "bsd 2 clause", "(?:simplified bsd|bsd 2 clause|2 clause bsd|two clause bsd)(?: licen[sc]e)?"),
+    ("bsd-2-clause", "freebsd", "bsd 2 clause freebsd", "freebsd(?: licen[sc]e)?"),
     ("bsd-3-clause", "bsd", "bsd 3 clause", "(?:modified bsd|new bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)(?: licen[sc]e)?"),
     ("bsd-4-clause", "bsd", "bsd 4 clause", "(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)(?: licen[sc]e)?"),
-    ("0bsd", "0bsd", "0bsd", "(?:zero clause bsd|0bsd)(?: licen[sc]e)?"),
+    ("0bsd", "0bsd", "0bsd", "0bsd(?: licen[sc]e)?"),
+    ("0bsd", "zero", None, "zero clause bsd(?: licen[sc]e)?"),
     ("bsd", "bsd", "bsd", "bsd (?:style )?licen[sc]e"),
     ("gpl-1.0", "general", "gpl 1 0(?: only| or later)?", "(?:gnu )?general public licen[sc]e v(?:ersion )?1(?: 0)?"),
     ("gpl-2.0", "general", "gpl 2 0(?: only| or later)?", "(?:gnu )?general public licen[sc]e (?:v|version )2(?: 0)?"),
@@ -151,7 +153,7 @@ NOTICES = [
 
 def rules() -> list[Rule]:
     """In order: earlier is preferred among equals. An SPDX line is priority 1, a grant 2, a bare name 3, a weak notice 4."""
-    out = [Rule(label, "spdx", f"spdx licen[sc]e identifier (?:{spdx})", 1) for label, _, spdx, _ in LICENSES]
+    out = [Rule(label, "spdx", f"spdx licen[sc]e identifier (?:{spdx})", 1) for label, _, spdx, _ in LICENSES if spdx]
     out += [Rule(*n) for n in NOTICES]
     out += [Rule(label, kw, g.format(name=f"(?:{name})"), 2) for label, kw, _, name in LICENSES for g in GRANTS]
     return out + [Rule(label, kw, name, 3) for label, kw, _, name in LICENSES]

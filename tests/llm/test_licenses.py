@@ -58,3 +58,40 @@ def test_query(spark, tmp_path):
     assert got[CASES.index("cc by " * 3000)].n_base == 3000
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
     assert L.op4_licenses(spark, f"{tmp_path}/none").count() == 0
+
+
+def alternatives(parsed):
+    """Texts of a parsed pattern, one for each way through its branches and optional parts."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            ways = [chr(arg)]
+        elif name == "IN":
+            first = arg[0]
+            ways = [chr(first[1] if str(first[0]) == "LITERAL" else first[1][0])]
+        elif name == "BRANCH":
+            ways = [w for b in arg[1] for w in alternatives(b)]
+        elif name == "SUBPATTERN":
+            ways = alternatives(arg[-1])
+        else:
+            assert name == "MAX_REPEAT", name
+            least, most, what = arg
+            ways = [w * least for w in alternatives(what)] + [w * min(int(most), least + 1) for w in alternatives(what)]
+        out = [a + w for a in out for w in dict.fromkeys(ways)]
+    return out
+
+
+def test_every_alternative_holds_its_keyword():
+    for r in L.rules():
+        for text in alternatives(re._parser.parse(r.pattern)):
+            assert re.fullmatch(r.pattern, text) and r.keyword in text.split(), (r, text)
+
+
+def test_names_of_other_words(spark):
+    texts = {"Released under the FreeBSD license": "bsd-2-clause", "zero clause BSD license": "0bsd", "freebsd": "bsd-2-clause", "licensed under the Zero-Clause BSD": "0bsd", "0BSD": "0bsd",
+             "SPDX-License-Identifier: BSD-2-Clause-FreeBSD": "bsd-2-clause"}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in L.scan(df).collect():
+        assert sorted((d.start, d.end, d.priority, d.rule) for d in r.detections) == brute(r.text)[2]
+        assert {d.label for d in r.detections} == {texts[r.text]}, r.text
