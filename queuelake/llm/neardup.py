@@ -110,17 +110,17 @@ def node_of(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-SIGNED = "doc_id long, n_shingles long, node long, bits array<long>, bands array<long>"
+SIGNED = "doc_id long, copy long, n_shingles long, node long, bits array<long>, bands array<long>"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
-    names = ["doc_id", "n_shingles", "node", "bits", "bands"]
+    names = ["doc_id", "copy", "n_shingles", "node", "bits", "bands"]
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
             n, nodes, bits, bands = [], [], [], []
-            for t in part.column(1):
+            for t in part.column(2):
                 s = shingler(t.as_py())
                 n.append(len(s))
                 if not len(s):
@@ -130,7 +130,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 nodes.append(node_of(s))
                 bits.append(np.packbits((m >> np.uint32(7)).astype(np.uint8) & 1).view(np.int64))
                 bands.append(_mix((m.reshape(BANDS, BAND_ROWS).astype(np.uint64) * _BAND).sum(axis=1, dtype=np.uint64)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], names)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], names)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +201,12 @@ def _resolve(pairs: DataFrame, sets: DataFrame, links: DataFrame | None, comps:
 
 def near_components(docs: DataFrame, rounds: int = 1) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _components(docs, rounds).select("doc_id", "n_shingles", "component_id")
+
+
+def _components(docs: DataFrame, rounds: int = 1) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, copy (hash of the text), n_shingles, node, component (a node of it), component_id (its least id)."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), "text")
     signed = materialize(texts.mapInArrow(_sign, SIGNED), "signed")
     known = signed.filter(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
     reps = materialize(known.groupBy("node").agg(F.min("doc_id").alias("rep")), "reps")
@@ -234,14 +239,14 @@ def near_components(docs: DataFrame, rounds: int = 1) -> DataFrame:
         _, comps = _resolve(more, sets_of(more), links, comps, 0)
 
     if comps is None:
-        ids = reps.select("node", F.col("rep").alias("component_id"))
+        ids = reps.select("node", F.col("node").alias("component"), F.col("rep").alias("component_id"))
     else:
         placed = reps.join(comps, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
         least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
-        ids = placed.join(least, "component").select("node", "component_id")
+        ids = placed.join(least, "component").select("node", "component", "component_id")
     ids = materialize(ids.join(reps, "node"), "ids")
-    out = signed.select("doc_id", "n_shingles", "node").join(ids.select("node", "component_id"), "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    out = signed.select("doc_id", "copy", "n_shingles", "node").join(ids.select("node", "component", "component_id"), "node", "left")
+    return out.select("doc_id", "copy", "n_shingles", "node", "component", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def _rest(members: DataFrame, many: DataFrame, comps: DataFrame | None, nodes: DataFrame) -> DataFrame:
@@ -272,6 +277,16 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, of which the least id of their component is theirs, and rows with a null id."""
-    gone = near_components(docs).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each component one row of docs, all columns: of its least id and, if that has several texts in it, of the one of the least hash.
+
+    Rows with a null id and rows without words stay. Of rows repeated with id and text, one stays; which, where other columns differ, is open.
+    """
+    linked = F.col("doc_id").isNotNull() & F.col("node").isNotNull()
+    rows = materialize(_components(docs).filter(linked).groupBy("doc_id", "copy", "component").agg(F.count(F.lit(1)).alias("n")), "copies")
+    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "copy")).alias("first"))
+    stays = rows.join(first, "component").withColumn("stays", F.struct("doc_id", "copy") == F.col("first"))
+    stays = materialize(stays.filter("not stays or n > 1").select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), "stays"), "stays")
+    same = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_copy"))
+    once = docs.join(stays, same, "left_anti")
+    again = docs.join(stays.filter("stays"), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.select(docs.columns).unionByName(again.select(docs.columns))

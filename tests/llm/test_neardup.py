@@ -79,3 +79,19 @@ def test_minima():
     true = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
     assert abs((N.minima(x) == N.minima(y)).mean() - true) < 0.1
     assert N.minima(x).tolist() == [min((int(a) * int(v >> np.uint64(32)) + int(b)) % 2**32 for v in x) for a, b in zip(N._A, N._B)]
+
+
+def test_kept_judges_rows(spark):
+    rnd = random.Random(5)
+    text = lambda: " ".join("".join(rnd.choice("abcdefghij") for _ in range(3)) for _ in range(120))
+    a, b, c, d, e = (text() for _ in range(5))
+    near = lambda t: t + " more"
+    # 5 has a near copy of 1 and a text of its own, whose group it leads; 2 is repeated whole; 3 has two texts of one group
+    rows = [(1, a), (5, near(a)), (5, b), (6, near(b)), (7, near(near(b))), (2, c), (2, c), (2, c), (8, near(c)), (3, d), (3, near(d)), (9, e), (None, e), (None, e), (4, ""), (4, ""), (4, None)]
+    got = N.kept(spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, copy int"))
+    assert got.columns == ["doc_id", "text", "copy"]
+    left = [(r.doc_id, r.text) for r in got.collect()]
+    three = [r for r in left if r[0] == 3]
+    assert len(three) == 1 and three[0][1] in (d, near(d))
+    want = [(1, a), (5, b), (2, c), (9, e), (None, e), (None, e), (4, ""), (4, ""), (4, None)]
+    assert sorted(map(str, left)) == sorted(map(str, want + three))
