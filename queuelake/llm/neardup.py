@@ -9,8 +9,15 @@
 3. Pairs whose signatures agree too seldom are dropped: the bound is 4.5 deviations below what 0.75 gives.
 4. Pairs are confirmed on the full sets, read again from the texts of the nodes concerned alone. Only pairs between different components of what
    is confirmed already are, the likeliest of each node first, then all that are left.
-5. In larger buckets that still hold several components, members outside the bucket's main component are paired with all the others of other
-   components, and go through 3 and 4. So every pair that shares a bucket is either confirmed, refuted, or inside one component.
+5. Larger buckets that still hold several components are completed exactly, without comparing all their members (``_rest``). Let P be the shingles
+   that more than WIDELY components hold, c how many of those a set x has, and g how many of the others x shares with a set y of another
+   component. They share min(c_x, c_y) + g shingles at most, and a link needs 3/7 of both sizes together. First every member meets the member of
+   its bucket with the largest share of P, the middle of the group. Then a pair is a candidate only if its sizes and c allow a link
+   without any g (found by bucket and class of size: members that differ from the middle by more than a quarter have no such partner unless it
+   is shorter), or if g makes up for it (found by the shingles that at most WIDELY components hold: at most WIDELY rows for each, first against
+   whole components, then against the members of those that remain). So every pair that shares a bucket is either confirmed, refuted, ruled
+   out by a bound, or inside one component. What may still grow with a product of sizes: two large components with middles of their own that
+   are close to 0.75 to each other and don't link.
 
 Nothing but counts reaches the driver. Joins are between written tables or scans, so AQE splits hot keys.
 
@@ -22,7 +29,7 @@ their own text; extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +43,10 @@ SHINGLE, LEAST = 5, 75
 BANDS, BAND_ROWS = 64, 7
 HASHES = BANDS * BAND_ROWS
 SMALL = 16
+#: A shingle that more components than this hold is one of the group's own.
+WIDELY = 8
+#: Classes of sizes: the size grows by a 1 / CLASSES power of e from one to the next.
+CLASSES = 32
 #: Minima whose bits agree: a pair of similarity s agrees in (1 + s) / 2 of them, with binomial noise.
 LEAST_BITS = int(HASHES * (1 + LEAST / 100) / 2 - 4.5 * (HASHES * (1 + LEAST / 100) / 2 * (1 - LEAST / 100) / 2) ** 0.5)
 _RND = np.random.default_rng(20240131)
@@ -233,10 +244,7 @@ def _components(docs: DataFrame, rounds: int = 1) -> DataFrame:
         return materialize(texts.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
 
     links, comps = _resolve(tested, sets_of(tested), None, None, rounds)
-    rest = _rest(members, many, comps, nodes)
-    more = materialize(rest.join(tested.select("u", "v"), ["u", "v"], "left_anti"), "alike")
-    if not more.isEmpty():
-        _, comps = _resolve(more, sets_of(more), links, comps, 0)
+    comps = _completed(members.join(many, "band", "left_semi").select("band", "node"), links, comps, nodes, sets_of)
 
     if comps is None:
         ids = reps.select("node", F.col("node").alias("component"), F.col("rep").alias("component_id"))
@@ -249,26 +257,81 @@ def _components(docs: DataFrame, rounds: int = 1) -> DataFrame:
     return out.select("doc_id", "copy", "n_shingles", "node", "component", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def _rest(members: DataFrame, many: DataFrame, comps: DataFrame | None, nodes: DataFrame) -> DataFrame:
-    """Pairs inside buckets of more than SMALL members: those outside the bucket's largest component with all that are in another than theirs.
-
-    The signatures are compared in the join's condition, so a pair that they rule out is never a row.
-    """
-    rows = members.join(many, "band", "left_semi").select("band", "node")
+def _mixed(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """rows (band, node) of the buckets that hold several components, with component and main, the bucket's largest one."""
     if comps is None:
         rows = rows.withColumn("component", F.col("node"))
     else:
         rows = rows.join(comps, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     rows = materialize(rows, "rows")
     sizes = rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = materialize(sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1"), "main")
-    mixed = rows.join(main, "band").join(nodes, "node")
-    out = mixed.filter("component != main").select("band", F.col("node").alias("u"), F.col("component").alias("uc"), F.col("bits").alias("ub"))
-    every = mixed.select("band", F.col("node").alias("v"), F.col("component").alias("vc"), F.col("bits").alias("vb"), F.col("main").alias("vm"))
-    # of two that are both outside the main component, one order is enough
-    once = (F.col("vc") == F.col("vm")) | (F.col("u") > F.col("v"))
-    alike = materialize(out.alias("x").join(every.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("uc") != F.col("vc")) & once & (_agree("ub", "vb") >= LEAST_BITS)).select("u", "v", _agree("ub", "vb").alias("agree")), "rest")
-    return alike.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), "agree").distinct()
+    main = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
+    return materialize(rows.join(main, "band"), "mixed")
+
+
+def _completed(rows: DataFrame, links: DataFrame | None, comps: DataFrame | None, nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """comps after all links inside the buckets rows (band, node) are found; links: star edges of comps."""
+    mixed = _mixed(rows, comps)
+    if mixed.isEmpty():
+        return comps
+    sets = sets_of(mixed.select(F.col("node").alias("u"), F.col("node").alias("v")))
+    placed = mixed.select("node", "component").distinct().join(sets, "node")
+    held = placed.select("node", "component", F.explode("shingles").alias("shingle"))
+    wide = held.select("shingle", "component").distinct().groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
+    shared = materialize(held.join(wide, "shingle").select("node", "shingle", (F.col("holders") > WIDELY).alias("wide")), "shared")
+    common = shared.filter("wide").groupBy("node").agg(F.count(F.lit(1)).alias("c"))
+    size = F.size("shingles").cast("long")
+    c = F.coalesce("c", F.lit(0).cast("long"))
+    # with nothing else in common, a partner has at most so many shingles
+    shapes = materialize(sets.select("node", size.alias("size")).join(common, "node", "left").select("node", "size", c.alias("c"), F.floor((7 * c - 3 * F.col("size")) / 3).alias("most")), "shapes")
+
+    # everyone with the middle of each bucket
+    shaped = mixed.join(shapes, "node")
+    middle = shaped.groupBy("band").agg(F.max_by(F.struct("node", "component"), F.struct(F.col("c") / F.col("size"), "c", "node")).alias("m"))
+    meet = mixed.join(middle, "band").filter(F.col("component") != F.col("m.component")).select(F.col("node").alias("u"), F.col("m.node").alias("v"))
+    tested = materialize(_alike(_unordered(meet), nodes), "alike")
+    links, comps = _resolve(tested, sets, links, comps, 0) if not tested.isEmpty() else (links, comps)
+
+    mixed = _mixed(mixed.select("band", "node"), comps)
+    if mixed.isEmpty():
+        return comps
+    pairs = _by_size(mixed, shapes, nodes).unionByName(_alike(_by_shingles(mixed, shapes, shared.filter("not wide")), nodes))
+    pairs = materialize(pairs.distinct().join(tested.select("u", "v"), ["u", "v"], "left_anti"), "alike")
+    return comps if pairs.isEmpty() else _resolve(pairs, sets, links, comps, 0)[1]
+
+
+def _by_size(mixed: DataFrame, shapes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v, agree) of a bucket in different components that may link by their widely held shingles alone, and whose signatures agree."""
+    rows = mixed.join(shapes, "node").join(nodes, "node")
+    least = rows.groupBy("band").agg(F.min("size").alias("least"))
+    of = lambda size: F.floor(F.log(size) * CLASSES)
+    outside = rows.filter("component != main").join(least, "band").filter("most >= least and 4 * most >= 3 * size")
+    reach = F.sequence(of(F.col("size") * 0.75), of(F.least(F.col("most"), F.col("size") * 4 / 3)))  # a partner has 3/4 to 4/3 of the size
+    x = outside.select("band", F.explode(reach).alias("class"), F.col("node").alias("u"), F.col("component").alias("uc"), F.col("size").alias("us"), F.col("most").alias("um"), F.col("bits").alias("ub"))
+    y = rows.select("band", of(F.col("size")).alias("class"), F.col("node").alias("v"), F.col("component").alias("vc"), F.col("size").alias("vs"), F.col("most").alias("vm"), F.col("bits").alias("vb"), "main")
+    fits = (F.col("vs") <= F.col("um")) & (F.col("us") <= F.col("vm"))
+    out = x.join(y, ["band", "class"]).filter(fits & (F.col("uc") != F.col("vc")) & (_agree("ub", "vb") >= LEAST_BITS))
+    return out.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), _agree("ub", "vb").alias("agree"))
+
+
+def _by_shingles(mixed: DataFrame, shapes: DataFrame, scarce: DataFrame) -> DataFrame:
+    """Pairs (u, v) in different components that share scarce (node, shingle) enough for a link.
+
+    A member of the smaller component looks the larger one up: which of its scarce shingles any member holds, then which members hold how many.
+    """
+    placed = materialize(mixed.select("node", "component").distinct().join(shapes, "node"), "placed")
+    summary = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.max("c").alias("most_c"), F.min("size").alias("least"))
+    placed = materialize(placed.join(summary, "component"), "placed")
+    held = materialize(scarce.join(placed, "node").select("node", "shingle", "component", "n", "c", "size", "most_c", "least"), "held")
+    larger = held.select("shingle", F.col("component").alias("k"), F.col("n").alias("kn"), "most_c", "least").distinct()
+    own = held.select("shingle", F.col("node").alias("u"), "component", "n", F.col("c").alias("uc"), F.col("size").alias("us"))
+    first = own.join(larger, "shingle").filter(F.struct("n", "component") < F.struct("kn", "k"))
+    counts = first.groupBy("u", "k").agg(F.count(F.lit(1)).alias("g"), *(F.first(x).alias(x) for x in ("uc", "us", "most_c", "least")))
+    near = materialize(counts.filter(7 * (F.least("uc", "most_c") + F.col("g")) >= 3 * (F.col("us") + F.col("least"))).select("u", "k"), "near")
+    looks = own.select("u", "shingle", "uc", "us").join(near, "u")
+    each = held.select("shingle", F.col("component").alias("k"), F.col("node").alias("v"), F.col("c").alias("vc"), F.col("size").alias("vs"))
+    both = looks.join(each, ["shingle", "k"]).groupBy("u", "v").agg(F.count(F.lit(1)).alias("g"), *(F.first(x).alias(x) for x in ("uc", "us", "vc", "vs")))
+    return _unordered(both.filter(7 * (F.least("uc", "vc") + F.col("g")) >= 3 * (F.col("us") + F.col("vs"))).select("u", "v"))
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
