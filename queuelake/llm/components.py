@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, written
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -32,17 +32,25 @@ def _star(links: DataFrame, larger: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """edges (u, v), longs -> node, component: the least node that can be reached; of nodes with an edge to another node.
+    """edges (u, v), longs -> node, component, a written table: the least node that can be reached; of nodes with an edge to another node.
+
+    Edges with a null end are none; repeated edges count once; no edges give no rows; further columns are ignored.
 
     Every round is O(edges) work and shuffle, and rounds are about the logarithm of the longest path; each is cut off by a written table.
     """
-    now = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), "edges")
-    for _ in range(most_rounds):
-        if _settled(now):
-            break
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        now = _star(_star(both, True), False)
-    else:
-        raise RuntimeError("components didn't settle")
-    roots = now.select(F.col("v").alias("node")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+    with written() as w:
+        now = materialize(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        for _ in range(most_rounds):
+            if _settled(now):
+                break
+            both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            with written() as step:
+                now = _star(_star(both, True), False)
+                step.keep(now)
+        else:
+            raise RuntimeError("components didn't settle")
+        roots = now.select(F.col("v").alias("node")).distinct()
+        out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+        out = materialize(out, "components")
+        w.keep(out)
+    return out

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .workers import trimmed
 
 ERROR_RATE = 0.08
 BLOCK_CHARS = 1_000_000
@@ -148,7 +149,7 @@ def _finder(items: list[tuple[int, str]]):
             cols = list(zip(*found, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["doc_id", "item_id", "distance", "most", "text_end"])
 
-    return run
+    return trimmed(run)
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -170,7 +171,7 @@ def kept(docs: DataFrame, items: DataFrame) -> DataFrame:
             for batch in batches:
                 yield batch.filter(pa.array([not block.matches(t.as_py()) for t in batch.column(at)], pa.bool_()))
 
-        return run
+        return trimmed(run)
 
     for block in blocks(items):
         docs = docs.mapInArrow(clean(block), docs.schema)

@@ -36,8 +36,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, table, written
 from .components import components
+from .workers import trimmed
 
 SHINGLE, LEAST = 5, 75
 BANDS, BAND_ROWS = 64, 7
@@ -205,7 +206,7 @@ def _resolve(pairs: DataFrame, sets: DataFrame, links: DataFrame | None, comps:
         if k < rounds:
             left = left.join(now, ["u", "v"], "left_anti")
         links = new if links is None else links.unionByName(new)
-        comps = materialize(components(links), "components")
+        comps = components(links)
         links = comps.filter("node != component").select(F.col("node").alias("u"), F.col("component").alias("v"))
     return links, comps
 
@@ -217,8 +218,17 @@ def near_components(docs: DataFrame, rounds: int = 1) -> DataFrame:
 
 def _components(docs: DataFrame, rounds: int = 1) -> DataFrame:
     """docs (doc_id, text) -> doc_id, copy (hash of the text), n_shingles, node, component (a node of it), component_id (its least id)."""
+    with written() as w:
+        signed, ids = _placed(docs, rounds)
+        w.keep(signed, ids)
+    out = signed.select("doc_id", "copy", "n_shingles", "node").join(ids.select("node", "component", "component_id"), "node", "left")
+    return out.select("doc_id", "copy", "n_shingles", "node", "component", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def _placed(docs: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: a row for each document, with its node; and of each node the component and its least id."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), "text")
-    signed = materialize(texts.mapInArrow(_sign, SIGNED), "signed")
+    signed = materialize(texts.mapInArrow(trimmed(_sign), SIGNED), "signed")
     known = signed.filter(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
     reps = materialize(known.groupBy("node").agg(F.min("doc_id").alias("rep")), "reps")
 
@@ -238,12 +248,12 @@ def _components(docs: DataFrame, rounds: int = 1) -> DataFrame:
     nodes = materialize(known.join(concerned.select("node", F.col("rep").alias("doc_id")), ["node", "doc_id"]).select("node", "bits").dropDuplicates(["node"]), "nodes")
     tested = materialize(_alike(pairs, nodes), "alike")
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        ids = concerned.join(ends, "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-        return materialize(texts.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        ids = concerned.join(wanted, "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+        return materialize(texts.join(ids, "doc_id", "left_semi").select("text").mapInArrow(trimmed(_sets), "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
 
-    links, comps = _resolve(tested, sets_of(tested), None, None, rounds)
+    ends = tested.select(F.col("u").alias("node")).unionByName(tested.select(F.col("v").alias("node"))).distinct()
+    links, comps = _resolve(tested, sets_of(ends), None, None, rounds)
     comps = _completed(members.join(many, "band", "left_semi").select("band", "node"), links, comps, nodes, sets_of)
 
     if comps is None:
@@ -252,9 +262,7 @@ def _components(docs: DataFrame, rounds: int = 1) -> DataFrame:
         placed = reps.join(comps, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
         least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
         ids = placed.join(least, "component").select("node", "component", "component_id")
-    ids = materialize(ids.join(reps, "node"), "ids")
-    out = signed.select("doc_id", "copy", "n_shingles", "node").join(ids.select("node", "component", "component_id"), "node", "left")
-    return out.select("doc_id", "copy", "n_shingles", "node", "component", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return signed, materialize(ids, "ids")
 
 
 def _mixed(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -274,7 +282,7 @@ def _completed(rows: DataFrame, links: DataFrame | None, comps: DataFrame | None
     mixed = _mixed(rows, comps)
     if mixed.isEmpty():
         return comps
-    sets = sets_of(mixed.select(F.col("node").alias("u"), F.col("node").alias("v")))
+    sets = sets_of(mixed.select("node").distinct())
     placed = mixed.select("node", "component").distinct().join(sets, "node")
     held = placed.select("node", "component", F.explode("shingles").alias("shingle"))
     wide = held.select("shingle", "component").distinct().groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
@@ -345,10 +353,12 @@ def kept(docs: DataFrame) -> DataFrame:
     Rows with a null id and rows without words stay. Of rows repeated with id and text, one stays; which, where other columns differ, is open.
     """
     linked = F.col("doc_id").isNotNull() & F.col("node").isNotNull()
-    rows = materialize(_components(docs).filter(linked).groupBy("doc_id", "copy", "component").agg(F.count(F.lit(1)).alias("n")), "copies")
-    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "copy")).alias("first"))
-    stays = rows.join(first, "component").withColumn("stays", F.struct("doc_id", "copy") == F.col("first"))
-    stays = materialize(stays.filter("not stays or n > 1").select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), "stays"), "stays")
+    with written() as w:
+        rows = materialize(_components(docs).filter(linked).groupBy("doc_id", "copy", "component").agg(F.count(F.lit(1)).alias("n")), "copies")
+        first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "copy")).alias("first"))
+        stays = rows.join(first, "component").withColumn("stays", F.struct("doc_id", "copy") == F.col("first"))
+        stays = materialize(stays.filter("not stays or n > 1").select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), "stays"), "stays")
+        w.keep(stays)
     same = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_copy"))
     once = docs.join(stays, same, "left_anti")
     again = docs.join(stays.filter("stays"), same, "left_semi").dropDuplicates(["doc_id", "text"])

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .workers import trimmed
 
 CHAIN = 2
 #: Common words of the languages at hand.
@@ -128,7 +129,7 @@ def _neighbours(rows: Iterator[tuple]) -> Iterator[tuple]:
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    rows = (r for b in batches for at in range(0, b.num_rows, 64) for r in zip(*(c.to_pylist() for c in b.slice(at, 64).columns), strict=True))
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     held, last = [], (None, None)
@@ -177,7 +178,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     # of rows that share a first id, the first by text follows: the others come behind it and are passed over
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(firsts) // 2 + 1)
     dealt = own.unionByName(heads).repartition(partitions, "chunk").sortWithinPartitions("chunk", F.desc("own"), F.desc_nulls_last("doc_id"), "text")
-    return dealt.mapInArrow(_judge, SCHEMA)
+    return dealt.mapInArrow(trimmed(_judge), SCHEMA)
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

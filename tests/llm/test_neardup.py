@@ -72,6 +72,27 @@ def test_equals_brute_force(spark, tmp_path):
     assert N.op5_minhash(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_group_on_both_sides(spark):
+    """One hub and its copies, many of which have no link at all, some links by a shorter partner, and a second hub not far from it."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(2))
+    hub = [word() for _ in range(150)]
+    second = hub[:118] + [word() for _ in range(32)]
+
+    def copy(w, changes, cut):
+        w = list(w)
+        for i in rnd.sample(range(len(w)), changes):
+            w[i] = word()
+        return " ".join(w[: len(w) - cut])
+
+    texts = [copy(hub, rnd.randint(1, 9), rnd.choice([0, 0, 0, rnd.randint(1, 40)])) for _ in range(280)]
+    texts += [copy(second, rnd.randint(1, 7), 0) for _ in range(120)]
+    rows = list(enumerate(texts))
+    out = N.near_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.doc_id == r.component_id) for r in out.collect())
+    assert got == brute(rows) and 30 < sum(r[3] for r in got) < 250
+
+
 def test_minima():
     rnd = np.random.default_rng(3)
     x = np.unique(rnd.integers(0, 2**63, 900, np.uint64))
