@@ -47,3 +47,17 @@ def test_edges(spark, tmp_path):
     assert L.kept(df, L.fit(df)).columns == df.columns and L.kept(df, L.fit(df)).count() == len(rows) - 3
     df.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert L.op8_language_id(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_clashing_columns_and_null_ids(spark):
+    rows = [(None if i % 2 else i, f"the cat and the house number {i}" if i % 3 else f"der hund und das haus nummer {i}", "en" if i % 3 else "de", 0.5, 1, "x") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, share double, rank int, part string")
+    model = L.fit(docs, most=10)
+    assert model.langs == ["de", "en"]
+    assert L.kept(docs, model).columns == docs.columns
+    assert {r.lang_pred for r in L.predicted(docs, model).collect()} <= {"de", "en"}
+
+
+def test_rejected():
+    assert L.rejected(None, "und", 0.0) and L.rejected("As " * 90, "en", 0.49)
+    assert not L.rejected("As " * 90, "en", 0.5) and not L.rejected("short", "en", 0.3)

@@ -13,8 +13,8 @@ def test_run_equals_brute_force(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = {r.doc_id: r for r in docs.collect()}
     model = langid.fit(docs)
-    langs, _ = langid.predict(model, [r.text for r in rows.values()])
-    left = [i for i, lang in zip(rows, langs) if lang != "und"]
+    judged = zip(rows, *langid.predict(model, [r.text for r in rows.values()]))
+    left = [i for i, lang, score in judged if not langid.rejected(rows[i].text, lang, score)]
     gone = {i for i, _, c, kept in brute([(i, rows[i].text) for i in left]) if not kept}
     left = [i for i in left if str(i) not in gone]
     items = [decontaminate.normal(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
