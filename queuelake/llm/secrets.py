@@ -27,12 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .workers import trimmed
 
 TREES, DEPTH, LEAST_LEAF, CUTS, SEED = 25, 7, 4, 16, 5
 EXAMPLES = 2500
 SECRET_FROM = 0.5
 MASK = "[SECRET]"
 BESIDE = 40
+#: Texts that are Python strings at once.
+SLICE = 128
 #: A run of key characters that starts where one may start. What makes it a proposal is tested on the run.
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-][A-Za-z0-9+/_=.-]{15,}")
 #: Each name that ASSIGNED takes holds one of these once its case is folded (its long s and Kelvin sign too, which (?i) takes for s and k).
@@ -70,15 +73,14 @@ def coverage(s: str) -> float:
     return covered / max(1, len(low))
 
 
-def features(hit: str, before: str, after: str, path: str | None) -> list[float]:
-    s = hit if len(hit) <= 4000 else hit[:2000] + hit[-2000:]  # the shares of characters of a longer one are as well seen there
+def features(s: str, before: str, after: str, path: str | None) -> list[float]:
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in s]
     n = len(s)
     count, chars = Counter(kinds), Counter(s)
     entropy = -sum(v / n * math.log2(v / n) for v in chars.values())
     turns = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, n - 1)
     return [
-        math.log2(len(hit)), turns, entropy, count["d"] / n, count["u"] / n, count["l"] / n, count["o"] / n, coverage(s), float(bool(HEX.match(s))), float(bool(UUID.match(s))),
+        math.log2(n), turns, entropy, count["d"] / n, count["u"] / n, count["l"] / n, count["o"] / n, coverage(s), float(bool(HEX.match(s))), float(bool(UUID.match(s))),
         float(bool(PREFIX.match(s))), float(bool(CALLED.search(before))), float(bool(HARMLESS.search(before))), float(bool(re.search(r"[=:]\s{0,3}[\"']?$", before))),
         float(after[:1] in "\"'" and after != ""), float(bool(TEST_PATH.search(path or ""))), max(chars.values()) / n, len(chars) / n,
     ]
@@ -101,14 +103,17 @@ def wholes(text: str, parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def proposals(text: str, parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Spans, by start, not overlapping: assigned values win over runs, and take in all of a run that they end in."""
-    out, taken = [], list(parts)
+    out, taken, at = [], list(parts), 0
     for m in RUN.finditer(text):
         s = m[0].rstrip(".=-")
         end = m.start() + len(s)
-        over = [i for i, (a, b) in enumerate(taken) if a < m.end() and m.start() < b]
-        if over:
-            a, b = taken[over[-1]]
-            taken[over[-1]] = (a, max(b, m.end()))
+        while at < len(taken) and taken[at][1] <= m.start():
+            at += 1
+        if at < len(taken) and taken[at][0] < m.end():
+            while at + 1 < len(taken) and taken[at + 1][0] < m.end():
+                at += 1
+            a, b = taken[at]
+            taken[at] = (a, max(b, m.end()))
         elif len(s) >= 16 and (any(c.isdigit() for c in s) or any(c.isupper() for c in s) and any(c.islower() for c in s)):
             out.append((m.start(), end))
     return sorted(out + taken)
@@ -306,7 +311,7 @@ def findings(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
             ids = pa.array([x.as_py() for x in cols[0]], pa.int64())
             yield pa.RecordBatch.from_arrays([ids, pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.bool_())], ["doc_id", "start", "end", "score", "secret"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", "source").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), "text", "source").mapInArrow(trimmed(run), SCHEMA)
 
 
 def redacted(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
@@ -317,7 +322,7 @@ def redacted(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
     size = names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             cols = list(batch.columns)
             old = [t.as_py() for t in cols[text]]
             paths = [None] * len(old) if path is None else cols[path].to_pylist()
@@ -328,7 +333,7 @@ def redacted(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
                 cols[size] = pa.array([n if a is b or a == b else len(b) for a, b, n in zip(old, new, counts, strict=True)], cols[size].type)
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

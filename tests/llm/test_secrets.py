@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 import numpy as np
 
@@ -90,3 +92,18 @@ def test_runs():
     assert ((S.trained().letters.predict(np.array([S.features(*r) for r in rows])) >= S.SECRET_FROM) == np.array(marks)).mean() > 0.96
     for clean in ("Donaudampfschifffahrt", "getUserAccountSettings", "AbstractSingletonProxyFactoryBean", "Vonerverkeitlich"):
         assert S.redact(S.trained(), f"see {clean} here", None) == f"see {clean} here"
+
+
+def test_long_values_are_masked_whole():
+    forest = S.trained(600)
+    rnd = random.Random(3)
+    for n in (201, 4001, 50_000):
+        value = "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+        assert S.redact(forest, f"see token = {value} end", None) == f"see token = {S.MASK} end"
+
+
+def test_many_proposals_in_one_text():
+    text = " ".join(f"token = abcdef{i:08d} x{i:020d}y" for i in range(20_000))
+    parts = S.assigned(text)
+    at = time.time()
+    assert len(S.proposals(text, parts)) == 40_000 and time.time() - at < 20
