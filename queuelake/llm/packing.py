@@ -1,13 +1,13 @@
 """Packing: first-fit decreasing over a tournament tree of bin capacities, run independently in randomised groups of documents.
 
-Documents are dealt to partitions by a hash of their id, so a hot source is spread; a partition is read in the order of another hash, tokenised
-in batches and packed in groups of at most GROUP_TOKENS tokens (a document longer than that is a group of its own, taken in blocks). In a group,
+Documents are dealt to partitions by a hash of id and text, so a hot source and null ids are spread; a partition is read in that hash's order,
+tokenised in slices and packed in groups, each closed once it has GROUP_TOKENS tokens (a document longer than that closes its group). In a group,
 a document gives its whole-length pieces of max_tokens, which are sequences already, and a rest; rests go, longest first, into the first
 sequence with room. The tree holds the largest free room of each half, so a piece finds its sequence in log n steps. Then the emptiest
 sequences are taken apart and their pieces cut to fill the gaps of the others, so a group ends with at most one sequence that is not full.
 
 Only one group's ids are held at a time. Sequence ids are partition and running number: a task that runs again gives the same ids, as rows
-are sorted within partitions.
+are sorted within partitions by hash, id and length, and rows alike in all of them are the same.
 
 Defined results: a null text is empty and has the end id alone; null ids are packed like others; repeated rows are packed as often as they
 come; extra columns are ignored; an empty table gives no pieces.
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .workers import trimmed
 
 MAX_TOKENS = 2048
 END_ID = 1
@@ -34,6 +36,8 @@ PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTES = {chr(b): b for b in PRINTED} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in PRINTED)}
 #: Rows for each partition that the deal aims at.
 ROWS_A_PARTITION = 8_000
+#: Texts that are Python strings at once.
+SLICE = 64
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 WITH_IDS = SCHEMA + ", ids array<int>"
 
@@ -72,6 +76,12 @@ class Encoder:
         return out
 
 
+@lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    """One a worker, whatever the number of its tasks."""
+    return Encoder(path)
+
+
 class Tree:
     """A tournament tree over the free room of n bins: the first bin with room, in log n steps."""
 
@@ -153,15 +163,15 @@ def pack(lengths: list[int], room: int = MAX_TOKENS) -> list[tuple[int, int, int
     return out
 
 
-def _emit(ids: list, docs: list[np.ndarray], shift: list[int], totals: list[int], first: int, keep_ids: bool) -> tuple[pa.RecordBatch, int]:
+def _emit(ids: list, docs: list[np.ndarray], first: int, keep_ids: bool) -> tuple[pa.RecordBatch, int]:
     pieces = pack([len(d) for d in docs])
     cut = [docs[d][s : s + n] for d, s, n, _, _ in pieces]
     cols = [
         pa.array([ids[p[0]] for p in pieces], pa.int64()),
-        pa.array([p[1] + shift[p[0]] for p in pieces], pa.int64()),
+        pa.array([p[1] for p in pieces], pa.int64()),
         pa.array([p[2] for p in pieces], pa.int64()),
         pa.array([zlib.crc32(c.tobytes()) for c in cut], pa.int64()),
-        pa.array([totals[p[0]] for p in pieces], pa.int64()),
+        pa.array([len(docs[p[0]]) for p in pieces], pa.int64()),
         pa.array([first + p[3] for p in pieces], pa.int64()),
         pa.array([p[4] for p in pieces], pa.int64()),
     ]
@@ -176,23 +186,22 @@ def packer(path: str, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, nxt = Encoder(path), TaskContext.get().partitionId() << 33
+        encoder, nxt = encoder_of(path), TaskContext.get().partitionId() << 33
         ids, docs, held = [], [], 0
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for at in range(0, len(texts), 64):
-                part = encoder.encode(texts[at : at + 64])
-                ids += batch.column(0).slice(at, 64).to_pylist()
+            for at in range(0, batch.num_rows, SLICE):
+                part = encoder.encode([t or "" for t in batch.column(1).slice(at, SLICE).to_pylist()])
+                ids += batch.column(0).slice(at, SLICE).to_pylist()
                 docs += part
                 held += sum(map(len, part))
                 if held >= GROUP_TOKENS:
-                    out, nxt = _emit(ids, docs, [0] * len(ids), [len(d) for d in docs], nxt, keep_ids)
+                    out, nxt = _emit(ids, docs, nxt, keep_ids)
                     yield out
                     ids, docs, held = [], [], 0
         if ids:
-            yield _emit(ids, docs, [0] * len(ids), [len(d) for d in docs], nxt, keep_ids)[0]
+            yield _emit(ids, docs, nxt, keep_ids)[0]
 
-    return run
+    return trimmed(run)
 
 
 def packed(docs: DataFrame, tokenizer: str, keep_ids: bool = False, partitions: int | None = None) -> DataFrame:
@@ -200,8 +209,8 @@ def packed(docs: DataFrame, tokenizer: str, keep_ids: bool = False, partitions:
     spark = docs.sparkSession
     if partitions is None:
         partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // ROWS_A_PARTITION + 1)
-    deal = docs.select("doc_id", "text", F.xxhash64(F.lit("deal"), "doc_id").alias("by"))
-    rows = deal.repartition(partitions, "by").sortWithinPartitions("by").select("doc_id", "text")
+    deal = docs.select("doc_id", "text", F.xxhash64(F.lit("deal"), "doc_id", "text").alias("by"))
+    rows = deal.repartition(partitions, "by").sortWithinPartitions("by", "doc_id", F.length("text")).select("doc_id", "text")
     return rows.mapInArrow(packer(tokenizer, keep_ids), WITH_IDS if keep_ids else SCHEMA)
 
 

@@ -1,4 +1,5 @@
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -83,3 +84,11 @@ def test_round_trip(spark, tmp_path):
     assert "ids" not in P.op3_packing(spark, str(tmp_path)).columns
     df.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert P.op3_packing(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_ids_of_all_assigned_code_points():
+    encoder = P.Encoder(P.tokenizer_path())
+    chars = [c for c in map(chr, range(0x110000)) if unicodedata.category(c) not in ("Cn", "Cs", "Co")]
+    texts = ["".join(f"a{c} {c}1{c}{c} " for c in chars[k : k + 100]) for k in range(0, len(chars), 100)]
+    want = [e.ids + [P.END_ID] for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in encoder.encode(texts)] == want
