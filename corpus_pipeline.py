@@ -13,7 +13,7 @@ from queuelake.llm.common import materialize, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without text or letters, in which no language can be told, go."""
+    """Documents in which no language can be told go: without letters, or with a network's score below 0.5 on a whole window or more."""
     return langid.kept(docs, langid.fit(docs))
 
 
