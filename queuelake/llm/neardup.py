@@ -7,12 +7,12 @@
    which least and greatest are taken differs from bucket to bucket, so leaders do. Members of a bucket are paired with its least and greatest
    member; buckets of up to SMALL members, with all. That is linear in bucket rows. What larger buckets may lack by that is in step 5.
 3. Pairs whose signatures agree too seldom are dropped: the bound is 4.5 deviations below what 0.75 gives.
-4. Pairs are confirmed on the full sets, read again from the texts of the nodes concerned alone. Only pairs between different components of what
+4. Pairs are confirmed on the full sets, read again in one pass over the texts of the nodes concerned. Only pairs between different components of what
    is confirmed already are, the likeliest of each node first, then all that are left.
 5. Larger buckets that still hold several components are completed exactly, without comparing all their members (``_rest``). Let P be the shingles
    that more than WIDELY components hold, c how many of those a set x has, and g how many of the others x shares with a set y of another
-   component. They share min(c_x, c_y) + g shingles at most, and a link needs 3/7 of both sizes together. First every member meets the member of
-   its bucket with the largest share of P, the middle of the group. Then a pair is a candidate only if its sizes and c allow a link
+   component. They share min(c_x, c_y) + g shingles at most, and a link needs 3/7 of both sizes together. First every member meets the members of
+   its bucket with the largest share of P, the middles of the group. Then a pair is a candidate only if its sizes and c allow a link
    without any g (found by bucket and class of size: members that differ from the middle by more than a quarter have no such partner unless it
    is shorter), or if g makes up for it (found by the shingles that at most WIDELY components hold: at most WIDELY rows for each, first against
    whole components, then against the members of those that remain). So every pair that shares a bucket is either confirmed, refuted, ruled
@@ -29,7 +29,7 @@ their own text; extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +45,9 @@ BANDS, BAND_ROWS = 64, 7
 HASHES = BANDS * BAND_ROWS
 SMALL = 16
 #: A shingle that more components than this hold is one of the group's own.
-WIDELY = 8
+WIDELY = 32
+#: Members of a bucket that the others meet before all that may link: the best of so many parts of it.
+MIDDLES = 8
 #: Classes of sizes: the size grows by a 1 / CLASSES power of e from one to the next.
 CLASSES = 32
 #: Minima whose bits agree: a pair of similarity s agrees in (1 + s) / 2 of them, with binomial noise.
@@ -248,13 +250,15 @@ def _placed(docs: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
     nodes = materialize(known.join(concerned.select("node", F.col("rep").alias("doc_id")), ["node", "doc_id"]).select("node", "bits").dropDuplicates(["node"]), "nodes")
     tested = materialize(_alike(pairs, nodes), "alike")
 
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        ids = concerned.join(wanted, "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-        return materialize(texts.join(ids, "doc_id", "left_semi").select("text").mapInArrow(trimmed(_sets), "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+    # the sets that are needed, in one pass over the texts: of pairs to confirm, and of all in larger buckets
+    wide = materialize(members.join(many, "band", "left_semi").select("band", "node"), "wide")
+    ends = tested.select(F.col("u").alias("node")).unionByName(tested.select(F.col("v").alias("node"))).unionByName(wide.select("node")).distinct()
+    read = materialize(concerned.join(ends, "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "read")
+    held = texts.join(read, "doc_id", "left_semi").select("text").mapInArrow(trimmed(_sets), "node long, shingles array<long>")
+    sets = materialize(held.join(ends, "node", "left_semi").dropDuplicates(["node"]), "sets")
 
-    ends = tested.select(F.col("u").alias("node")).unionByName(tested.select(F.col("v").alias("node"))).distinct()
-    links, comps = _resolve(tested, sets_of(ends), None, None, rounds)
-    comps = _completed(members.join(many, "band", "left_semi").select("band", "node"), links, comps, nodes, sets_of)
+    links, comps = _resolve(tested, sets, None, None, rounds)
+    comps = _completed(wide, links, comps, nodes, sets)
 
     if comps is None:
         ids = reps.select("node", F.col("node").alias("component"), F.col("rep").alias("component_id"))
@@ -277,12 +281,11 @@ def _mixed(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
     return materialize(rows.join(main, "band"), "mixed")
 
 
-def _completed(rows: DataFrame, links: DataFrame | None, comps: DataFrame | None, nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+def _completed(rows: DataFrame, links: DataFrame | None, comps: DataFrame | None, nodes: DataFrame, sets: DataFrame) -> DataFrame | None:
     """comps after all links inside the buckets rows (band, node) are found; links: star edges of comps."""
     mixed = _mixed(rows, comps)
     if mixed.isEmpty():
         return comps
-    sets = sets_of(mixed.select("node").distinct())
     placed = mixed.select("node", "component").distinct().join(sets, "node")
     held = placed.select("node", "component", F.explode("shingles").alias("shingle"))
     wide = held.select("shingle", "component").distinct().groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
@@ -291,14 +294,18 @@ def _completed(rows: DataFrame, links: DataFrame | None, comps: DataFrame | None
     size = F.size("shingles").cast("long")
     c = F.coalesce("c", F.lit(0).cast("long"))
     # with nothing else in common, a partner has at most so many shingles
-    shapes = materialize(sets.select("node", size.alias("size")).join(common, "node", "left").select("node", "size", c.alias("c"), F.floor((7 * c - 3 * F.col("size")) / 3).alias("most")), "shapes")
+    shapes = materialize(placed.select("node", size.alias("size")).join(common, "node", "left").select("node", "size", c.alias("c"), F.floor((7 * c - 3 * F.col("size")) / 3).alias("most")), "shapes")
 
-    # everyone with the middle of each bucket
+    # who may link with the middles of a bucket by size meets them
     shaped = mixed.join(shapes, "node")
-    middle = shaped.groupBy("band").agg(F.max_by(F.struct("node", "component"), F.struct(F.col("c") / F.col("size"), "c", "node")).alias("m"))
-    meet = mixed.join(middle, "band").filter(F.col("component") != F.col("m.component")).select(F.col("node").alias("u"), F.col("m.node").alias("v"))
+    part = F.pmod(F.xxhash64("node"), F.lit(MIDDLES)).alias("part")
+    one = F.struct(*(F.col(x).alias(y) for x, y in zip(("node", "component", "size", "most"), ("v", "vc", "vs", "vm"), strict=True)))
+    middles = materialize(shaped.groupBy("band", part).agg(F.max_by(one, F.struct(F.col("c") / F.col("size"), "c", "node")).alias("m")).select("band", "m.*"), "middles")
+    fits = (F.col("vs") <= F.col("most")) & (F.col("size") <= F.col("vm"))
+    meet = shaped.filter("4 * most >= 3 * size").join(middles, "band").filter(fits & (F.col("component") != F.col("vc"))).select(F.col("node").alias("u"), "v")
     tested = materialize(_alike(_unordered(meet), nodes), "alike")
-    links, comps = _resolve(tested, sets, links, comps, 0) if not tested.isEmpty() else (links, comps)
+    if not tested.isEmpty():
+        links, comps = _resolve(tested, sets, links, comps, 0)
 
     mixed = _mixed(mixed.select("band", "node"), comps)
     if mixed.isEmpty():
