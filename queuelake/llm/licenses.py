@@ -9,7 +9,7 @@ first, higher priority first: one that lies within the interval of a detection o
 The plan is one projection over the scan: no shuffle, join or state; a row's cost grows with its own length.
 
 Defined results: a null text is empty: no words, no labels, score 0. Ties of equal intervals go to the higher priority, then to the rule
-listed first. Repeated rows each get their result; extra columns are ignored; an empty table gives an empty result.
+listed first. Repeated rows each get their result; extra columns stay, but for n_words, places and detections, which are the result's; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, table
-from .spans import found
+from .spans import SPANS, bound, found, running
 
 #: Fixed values of the contract: phrase -> label.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -183,20 +183,23 @@ def unsuppressed(found_: Column) -> Column:
     ends[p-1] is the furthest end of priority p or higher so far; starts only grow, so a detection lies in an earlier one iff it ends no later.
     """
     levels = sorted(WEIGHTS)
-    none = F.array().cast(DETECTIONS)
 
-    def step(acc: Column, d: Column) -> Column:
-        ends = F.transform(acc["ends"], lambda e, i: F.when(i + 1 >= d["priority"], F.greatest(e, d["end"])).otherwise(e))
-        kept = F.when(F.element_at(acc["ends"], d["priority"]) >= d["end"], acc["out"]).otherwise(F.concat(acc["out"], F.array(d)))
-        return F.struct(ends.alias("ends"), kept.alias("out"))
+    def ends(d: Column, p: int) -> Column:
+        return F.transform(d, lambda x: F.when(x["priority"] <= p, x["end"]).otherwise(0))
+
+    def kept(d: Column) -> Column:
+        furthest = [running(ends(d, p), F.greatest) for p in levels]
+        # level by level: of each detection of this priority, the furthest end before it
+        outer = [F.concat(F.array(F.lit(0)), f) for f in furthest]
+        marked = F.arrays_zip(d.alias("d"), *(o.alias(f"e{p}") for p, o in zip(levels, outer, strict=True)))
+        free = lambda m: F.coalesce(*(F.when(m["d"]["priority"] == p, m[f"e{p}"] < m["d"]["end"]) for p in levels), F.lit(False))
+        return F.transform(F.filter(marked, free), lambda m: m["d"])
 
-    start = F.struct(F.array(*(F.lit(0) for _ in levels)).alias("ends"), none.alias("out"))
-    return F.aggregate(found_, start, step, lambda acc: acc["out"])
+    return bound(found_, kept)
 
 
 def _places(norm: Column, phrase: str, label: str) -> Column:
-    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
-    hits = F.when(F.contains(norm, F.lit(f" {phrase} ")), found(norm, f"(?<= ){phrase}(?= )", words=True)).otherwise(none)
+    hits = F.when(F.contains(norm, F.lit(f" {phrase} ")), found(norm, f"(?<= ){phrase}(?= )", words=True)).otherwise(F.array().cast(SPANS))
     return F.transform(hits, lambda s: F.struct(F.lit(label).alias("label"), s["start"].alias("start"), s["end"].alias("end")))
 
 
@@ -205,12 +208,13 @@ def scan(docs: DataFrame, text: str = "text", chosen: list[Rule] | None = None)
     chosen = rules() if chosen is None else chosen
     gate = F.array(*(F.lit(k) for k in sorted({r.keyword for r in chosen})))
     none = F.array().cast(DETECTIONS)
-    out = docs.withColumn("norm", normal(F.col(text)))
-    out = out.withColumn("keywords", F.array_intersect(F.split("norm", " "), gate))
-    places = F.concat(*(_places(F.col("norm"), phrase, label) for phrase, label in BASE.items()))
-    hits = F.when(F.size("keywords") > 0, unsuppressed(detections(F.col("norm"), F.col("keywords"), chosen))).otherwise(none)
-    words = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit("")))
-    return out.withColumns({"n_words": F.greatest(words - 1, F.lit(0)).cast("long"), "places": places, "detections": hits}).drop("norm", "keywords")
+    norm, keywords = (f"{'_' * (1 + max(map(len, docs.columns)))}{name}" for name in ("norm", "keywords"))  # longer than any column of docs
+    out = docs.withColumn(norm, normal(F.col(text)))
+    out = out.withColumn(keywords, F.array_intersect(F.split(norm, " "), gate))
+    places = F.concat(*(_places(F.col(norm), phrase, label) for phrase, label in BASE.items()))
+    hits = F.when(F.size(keywords) > 0, unsuppressed(detections(F.col(norm), F.col(keywords), chosen))).otherwise(none)
+    words = F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit("")))
+    return out.withColumns({"n_words": F.greatest(words - 1, F.lit(0)).cast("long"), "places": places, "detections": hits}).drop(norm, keywords)
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import re
+import time
 
 from queuelake.llm import licenses as L
 
@@ -33,8 +34,11 @@ CASES = [
 
 
 def test_equals_brute_force(spark):
-    df = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(CASES)], "doc_id long, text string, n int, keywords string").drop("keywords")
-    for r in L.scan(df).collect():
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(CASES)], "doc_id long, text string, norm int, keywords string")
+    rows = L.scan(df)
+    assert rows.columns == [*df.columns, "n_words", "places", "detections"]
+    for r in rows.collect():
+        assert (r.norm, r.keywords) == (1, "x")
         n, places, kept = brute(CASES[r.doc_id])
         assert r.n_words == n
         assert sorted((p.label, p.start) for p in r.places) == sorted(places)
@@ -45,7 +49,7 @@ def test_rules():
     got = L.rules()
     assert len(got) > 300
     for r in got:
-        assert re.search(rf"(?<![a-z0-9]){r.keyword}(?![a-z0-9])", r.pattern) or r.keyword in ("bsd",), r
+        assert re.search(rf"(?<![a-z0-9]){r.keyword}(?![a-z0-9])", r.pattern), r
 
 
 def test_query(spark, tmp_path):
@@ -95,3 +99,16 @@ def test_names_of_other_words(spark):
     for r in L.scan(df).collect():
         assert sorted((d.start, d.end, d.priority, d.rule) for d in r.detections) == brute(r.text)[2]
         assert {d.label for d in r.detections} == {texts[r.text]}, r.text
+
+
+def test_many_hits_in_one_text(spark):
+    """Twice the hits take about twice the time, not four times."""
+    texts = {n: "cc by licensed under cc by nc 4 0 " * n for n in (5_000, 20_000)}
+    took = {}
+    for n, t in texts.items():
+        df = spark.createDataFrame([(n, t)], "doc_id long, text string")
+        at = time.time()
+        (r,) = L.scan(df).select("places", "detections").collect()
+        took[n] = time.time() - at
+        assert len(r.places) == 2 * n and [d.start for d in r.detections] == sorted(d.start for d in r.detections)
+    assert took[20_000] < 10 * took[5_000] + 5, took

@@ -1,3 +1,4 @@
+import time
 import hashlib
 import re
 
@@ -60,3 +61,14 @@ def test_query(spark, tmp_path):
     assert got[None].spans == "" and got[None].base_sha256 == hashlib.sha256(b"").hexdigest()
     df.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert pii.op9_pii(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_many_matches_in_one_text(spark):
+    took = {}
+    for n in (5_000, 20_000):
+        df = spark.createDataFrame([(1, "see 10.0.0.1 " * n)], "doc_id long, text string")
+        at = time.time()
+        (r,) = pii.with_spans(df).select("pii_ip").collect()
+        took[n] = time.time() - at
+        assert [s.start for s in r.pii_ip] == [13 * i + 4 for i in range(n)]
+    assert took[20_000] < 10 * took[5_000] + 5, took
