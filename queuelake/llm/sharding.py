@@ -1,9 +1,10 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly; each group goes where the dot product with the room left is highest.
 
 Rows of equal text are a group. Groups are dealt by their hash into a fixed number of buckets, and a bucket is placed as one item, so the driver
-places at most BUCKETS + 3 * (PART + HOT) items whatever the corpus holds: a few thousand vectors of three numbers. Items are placed largest first; the
-last ones are small, so shards come out nearly equal. A group that alone has more than 1 / HOT of the bytes, tokens or rows is split into as
-many parts as that needs, and each part is an item: copies of one text may be a third of the corpus and go to several shards.
+places at most BUCKETS + 3 * (PART + SHARDS) items whatever the corpus holds: a few thousand vectors of three numbers. Items are placed largest first; the
+last ones are small, so shards come out nearly equal. A group stays whole unless it alone has more than a shard's fair part of the bytes,
+tokens or rows, which no law about equal sizes allows: then it is split
+into as many parts as that needs, and each part is an item: copies of one text may be a third of the corpus and go to several shards.
 
 The text is read once: what is needed of a row (five numbers) is written to the shared folder. Groups are counted with partial sums on the map
 side, so a hot text is one row per task in the shuffle. Slots are running numbers inside a shard: rows are ranked in chunks of bounded size, by
@@ -25,8 +26,8 @@ from pyspark.sql.window import Window
 from .common import materialize, table
 
 SHARDS, BUCKETS = 8, 16384
-#: A group with more than 1 / HOT of the bytes, tokens or rows is split into parts of about 1 / PART of them.
-HOT, PART = 64, 1024
+#: A group that is split has parts of about 1 / PART of the bytes, tokens or rows.
+PART = 1024
 #: Of bytes, tokens and rows in the dot product: the law is about bytes.
 WEIGHTS = np.array([4.0, 1.0, 1.0])
 CHUNK_ROWS = 4_000
@@ -65,8 +66,8 @@ def sharded(docs: DataFrame, shards: int = SHARDS, buckets: int = BUCKETS) -> Da
         return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     share = F.greatest(*(F.col(c) / F.lit(float(total[c])) for c in ("bytes", "tokens", "rows")))
     own_hash = F.pmod(F.xxhash64("text_hash"), F.lit(buckets)).cast("int")
-    weighed = groups.withColumns({"bucket": own_hash, "parts": F.when((share * HOT > 1) & (F.col("rows") > 1), F.least(F.ceil(share * PART), F.col("rows"))).otherwise(1).cast("int")})
-    heavy = weighed.filter("parts > 1").select("text_hash", "parts")  # at most 3 * HOT rows: their shares add up to 3 at most
+    weighed = groups.withColumns({"bucket": own_hash, "parts": F.when((share * shards > 1) & (F.col("rows") > 1), F.least(F.ceil(share * PART), F.col("rows"))).otherwise(1).cast("int")})
+    heavy = weighed.filter("parts > 1").select("text_hash", "parts")  # at most 3 * shards rows: their shares add up to 3 at most
     light = weighed.filter("parts = 1").groupBy("bucket").agg(F.sum("bytes"), F.sum("tokens"), F.sum("rows")).collect()
     part = F.pmod("row_hash", "parts").cast("int").alias("part")
     split = rows.join(F.broadcast(heavy), "text_hash").groupBy("text_hash", part).agg(F.sum("size"), F.sum("tokens"), F.count(F.lit(1))).collect()
@@ -80,7 +81,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS, buckets: int = BUCKETS) -> Da
         .join(F.broadcast(shard_of), "bucket", "left")  # at most BUCKETS rows
         .join(F.broadcast(heavy), "text_hash", "left")
         .withColumn("part", part)
-        .join(F.broadcast(hot_of), ["text_hash", "part"], "left")  # at most 3 * (PART + HOT) rows
+        .join(F.broadcast(hot_of), ["text_hash", "part"], "left")  # at most 3 * (PART + shards) rows
         .withColumn("shard", F.coalesce("hot_shard", "shard"))
     )
     chunks = int(total.rows) // CHUNK_ROWS + 1

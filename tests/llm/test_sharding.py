@@ -50,3 +50,13 @@ def test_equal_texts_stay_together(spark):
     for r in S.sharded(df).collect():
         at.setdefault(r.text_crc32, set()).add(r.shard)
     assert all(len(x) == 1 for x in at.values())
+
+
+def test_groups_below_a_fair_part_stay_whole(spark):
+    texts = ["copy " * 9] * 120 + [f"own text {i} " + "y" * (i % 41) for i in range(3880)] + ["z" * 300] * 900
+    at, n = {}, {}
+    for r in S.sharded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        at.setdefault(r.text_crc32, set()).add(r.shard)
+        n[r.shard] = n.get(r.shard, 0) + r["size"]
+    split = {k for k, x in at.items() if len(x) > 1}
+    assert split == {zlib.crc32(b"z" * 300)} and max(n.values()) < 1.15 * min(n.values()), n  # a third of the rows has most of the bytes
