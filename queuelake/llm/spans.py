@@ -41,13 +41,16 @@ def found(text: Column, pattern: Column | str, words: bool = False, beside: int
     """
     rx = F.lit(pattern) if isinstance(pattern, str) else pattern
     size = _spaces if words else F.length
-    rows = F.arrays_zip(F.regexp_extract_all(text, rx, F.lit(0)).alias("hit"), F.split(text, rx, -1).alias("gap"))
     wide = lambda r: size(r["gap"]) + F.coalesce(size(r["hit"]), F.lit(0))
 
     def span(row: Column, end: Column) -> Column:
         start = end - F.coalesce(size(row["hit"]), F.lit(0)) - int(words)
         return F.struct(start.alias("start"), end.alias("end"), row["hit"].alias("hit"), F.right(row["gap"], F.lit(beside)).alias("before"))
 
-    walked = lambda r: F.zip_with(r, running(F.transform(r, wide), lambda x, y: x + y), span)
-    # the last gap has no match behind it
-    return bound(rows, lambda r: F.when(F.size(r) > 1, F.filter(walked(r), lambda s: s["hit"].isNotNull())).otherwise(F.array().cast(SPANS)))
+    def walked(hits: Column) -> Column:
+        rows = F.arrays_zip(hits.alias("hit"), F.split(text, rx, -1).alias("gap"))
+        spans = bound(rows, lambda r: F.zip_with(r, running(F.transform(r, wide), lambda x, y: x + y), span))
+        return F.filter(spans, lambda s: s["hit"].isNotNull())  # the last gap has no match behind it
+
+    # the text is split only where there is a match
+    return bound(F.regexp_extract_all(text, rx, F.lit(0)), lambda h: F.when(F.size(h) > 0, walked(h)).otherwise(F.array().cast(SPANS)))
