@@ -90,9 +90,9 @@ def sc10b(spark, sf):
     return places(spark, sf).filter(X.in_polygon(F.col("lat"), F.col("lon"), [(-60.0, -160.0), (-60.0, 170.0), (60.0, 5.0)])).select("n_nationkey")
 
 
-@query("sc11_slugs", "SELECT doc_id, trim(regexp_replace(replace(translate(lower(left(text, 60)), 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ', 'aaaaaaceeeeiiiinoooooouuuuyy'), 'ß', 'ss'), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
+@query("sc11_slugs", "SELECT doc_id, trim(regexp_replace(replace(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ', 'aaaaaaceeeeiiiinoooooouuuuyy'), 'ß', 'ss'), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
 def sc11(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", L.slug(F.substring("text", 1, 60)).alias("slug"))
+    return read(spark, sf, "documents").select("doc_id", L.slug(F.col("text")).alias("slug"))
 
 
 _DICE = "CASE WHEN {a} = {b} THEN 1.0 WHEN len({x}) + len({y}) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect({x}, {y})) / (len({x}) + len({y})) END"
@@ -125,7 +125,7 @@ def search(rows: DataFrame, name: str, words: str, least: float = 0.3) -> DataFr
     n, q = F.lower(name), words.lower()
     sim = X.trigram_similarity(F.col(name), F.lit(words))
     edits = X.within_edits(n, F.lit(q), 2)
-    tier = F.when(n == q, 0).when(F.startswith(n, F.lit(q)), 1).when(n.rlike(rf"(^|[^a-z0-9]){q}"), 2).when(F.contains(n, F.lit(q)), 3).when(sim >= least, 4).when(edits.isNotNull(), 5)
+    tier = F.when(n == q, 0).when(F.startswith(n, F.lit(q)), 1).when(n.rlike(rf"(^|[^a-z0-9])\Q{q.replace(chr(92) + 'E', '')}\E"), 2).when(F.contains(n, F.lit(q)), 3).when(sim >= least, 4).when(edits.isNotNull(), 5)
     return rows.withColumns({"tier": tier, "sim": r4(sim)}).filter("tier IS NOT NULL")
 
 

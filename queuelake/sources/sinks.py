@@ -81,6 +81,19 @@ def purge_before(spark: SparkSession, path: str, day_column: str, day: str) -> i
     return n
 
 
+def save_tensor(spark: SparkSession, path: str, cells: DataFrame, axes: tuple[str, ...] = ("entity_id", "slot")) -> None:
+    """A tensor in long form, a row a cell and a column a channel; cells sorted by the axes within files, so a range of an axis reads few row groups."""
+    replace(spark, path, cells.repartitionByRange(*axes).sortWithinPartitions(*axes))
+
+
+def load_tensor(spark: SparkSession, path: str, channels: list[str] | None = None, axes: tuple[str, ...] = ("entity_id", "slot")) -> DataFrame:
+    """The cells of ``save_tensor``, of some channels alone if they are named: the others aren't read."""
+    held = current(spark, path)
+    if held is None:
+        raise FileNotFoundError(path)
+    return held.select(*axes, *channels) if channels else held
+
+
 def log_lines(rows: DataFrame, path: str) -> None:
     """Append as JSON lines."""
     rows.write.mode("append").json(path)

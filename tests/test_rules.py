@@ -178,3 +178,23 @@ def test_partitioning_does_not_matter(spark):
 
 def test_mean_never_exceeds_top(spark):
     assert rollup.ride_stats(queue_log(spark, SF)).filter("mean > top OR mean < least").count() == 0
+
+
+def test_tensor_round_trip(spark, tmp_path):
+    from queuelake.sources import sinks
+
+    cells = spark.createDataFrame([(r, s, float(r * s) if s % 3 else None, s % 3 > 0) for r in range(20) for s in range(48)], "entity_id long, slot long, y double, observed boolean")
+    with pytest.raises(FileNotFoundError):
+        sinks.load_tensor(spark, f"{tmp_path}/t")
+    for part in (cells.filter("slot < 5"), cells):
+        sinks.save_tensor(spark, f"{tmp_path}/t", part)
+        got = sinks.load_tensor(spark, f"{tmp_path}/t")
+        assert got.dtypes == cells.dtypes and sorted(map(str, got.collect())) == sorted(map(str, part.collect()))
+    assert sinks.load_tensor(spark, f"{tmp_path}/t", ["y"]).columns == ["entity_id", "slot", "y"]
+
+
+def test_search_takes_words_literally(spark):
+    from queuelake.operators.lookup import search
+
+    rows = spark.createDataFrame([("a+b ride",), ("the a+b",), ("aab",)], "name string")
+    assert {r.name: r.tier for r in search(rows, "name", "a+b").collect() if r.tier < 4} == {"a+b ride": 1, "the a+b": 2}
