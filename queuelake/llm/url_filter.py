@@ -27,6 +27,17 @@ HOST_PATH = r"://([^/?#]*)([^?#]*)"
 PAGE_DOC = r"://[^/?#]*/[a-z]+/([0-9]{1,18})"
 
 
+#: Public suffixes of two labels. Any other host's suffix is its last label.
+SUFFIXES = (
+    "ac.cn ac.id ac.il ac.in ac.jp ac.kr ac.nz ac.th ac.uk ac.za co.id co.il co.in co.jp co.kr co.nz co.th co.uk co.za com.ar com.au com.br com.cn com.co com.eg com.es com.hk com.mx com.my "
+    "com.pe com.ph com.pl com.sa com.sg com.tr com.tw com.ua com.ve com.vn ed.jp edu.ar edu.au edu.br edu.cn edu.es edu.hk edu.mx edu.pl edu.sg edu.tr edu.tw go.id go.jp go.kr go.th gob.ar "
+    "gob.es gob.mx gouv.fr gov.au gov.br gov.cn gov.il gov.in gov.pl gov.sg gov.tr gov.tw gov.uk gov.za govt.nz gr.jp id.au lg.jp ltd.uk me.uk ne.jp net.au net.br net.cn net.in net.nz net.pl "
+    "net.uk net.za nhs.uk or.id or.jp or.kr or.th org.ar org.au org.br org.cn org.es org.hk org.il org.in org.mx org.nz org.pl org.sg org.tr org.tw org.uk org.za plc.uk sch.uk school.nz"
+).split()
+NUMERIC = r"^[0-9]+(\.[0-9]+){3}$"
+LAST, LAST_TWO, LAST_THREE = r"[^.]*$", r"([^.]*\.)?[^.]*$", r"([^.]*\.)?([^.]*\.)?[^.]*$"
+
+
 @dataclass(frozen=True)
 class Rule:
     verdict: str
@@ -66,9 +77,15 @@ def fitting_rule(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) ->
 
 
 def with_parents(hosts: DataFrame) -> DataFrame:
-    """host -> domain (its last two labels) and suffix (the last); ports and user names are no part of them."""
+    """host -> its public suffix, and its registered domain: the suffix and the label before it. Ports and user names are no part of them.
+
+    A numeric address is a domain of its own; all of them have the suffix ``(ip)``.
+    """
     name = F.regexp_replace(F.regexp_replace("host", "^.*@", ""), ":[0-9]*$", "")
-    return hosts.withColumns({"domain": F.regexp_extract(name, r"([^.]*\.)?[^.]*$", 0), "suffix": F.regexp_extract(name, r"[^.]*$", 0)})
+    part = lambda pattern: F.regexp_extract(name, pattern, 0)
+    numeric, two = name.rlike(NUMERIC), part(LAST_TWO).isin(SUFFIXES)
+    domain = F.when(numeric, name).when(two, part(LAST_THREE)).otherwise(part(LAST_TWO))
+    return hosts.withColumns({"domain": domain, "suffix": F.when(numeric, "(ip)").when(two, part(LAST_TWO)).otherwise(part(LAST))})
 
 
 def shrunk(level: DataFrame, parents: DataFrame, key: str, parent: str, least_rho: float, most_rho: float) -> DataFrame:
@@ -138,7 +155,9 @@ marks AS (SELECT doc_id, (coalesce(quality = 0, false) OR coalesce(toxic = 1, fa
 counted AS (SELECT host, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS k FROM pg JOIN marks USING (doc_id) GROUP BY host),
 named AS (SELECT h.host, coalesce(n, 0) AS n, coalesce(k, 0) AS k, regexp_replace(regexp_replace(h.host, '^.*@', ''), ':[0-9]*$', '') AS name
     FROM (SELECT DISTINCT host FROM pg) h LEFT JOIN counted c ON h.host = c.host),
-lv AS (SELECT host, n, k, regexp_extract(name, '([^.]*\.)?[^.]*$', 0) AS domain, regexp_extract(name, '[^.]*$', 0) AS suffix FROM named),
+lv AS (SELECT host, n, k, CASE WHEN regexp_matches(name, '{NUMERIC}') THEN name WHEN two IN ({", ".join(f"'{s}'" for s in SUFFIXES)}) THEN regexp_extract(name, '{LAST_THREE}', 0) ELSE two END AS domain,
+    CASE WHEN regexp_matches(name, '{NUMERIC}') THEN '(ip)' WHEN two IN ({", ".join(f"'{s}'" for s in SUFFIXES)}) THEN two ELSE regexp_extract(name, '{LAST}', 0) END AS suffix
+    FROM (SELECT *, regexp_extract(name, '{LAST_TWO}', 0) AS two FROM named)),
 dm AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM lv GROUP BY ALL),
 sx AS (SELECT suffix, '' AS root, sum(n) AS n, sum(k) AS k FROM dm GROUP BY ALL),
 al AS (SELECT '' AS root, (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) AS mean FROM sx),
