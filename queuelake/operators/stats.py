@@ -88,12 +88,24 @@ def ag30(spark, sf):
     return s.select("park_id", "dow", r4(F.col("m")).alias("mean"), "days", crowd_score(F.col("m") / 10).alias("score"), crowd_level(F.col("m") / 2).alias("level"))
 
 
-@query("ag33_country_summary", "WITH m AS (SELECT n_regionkey, month(o_orderdate) AS month, round(avg(o_totalprice), 2) AS v FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY v DESC, month) AS hi, row_number() OVER (PARTITION BY n_regionkey ORDER BY v, month) AS lo FROM m) SELECT n_regionkey, string_agg(CAST(month AS VARCHAR), ',' ORDER BY hi) FILTER (hi <= 3) AS peak, string_agg(CAST(month AS VARCHAR), ',' ORDER BY lo) FILTER (lo <= 3) AS quiet FROM r GROUP BY 1 HAVING count(*) >= 6")
+_SOLD = "FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2"
+
+
+@query("ag33_country_summary", f"""WITH m AS (SELECT n_regionkey, month(o_orderdate) AS month, round(avg(o_totalprice), 2) AS v {_SOLD}),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY v DESC, month) AS hi, row_number() OVER (PARTITION BY n_regionkey ORDER BY v, month) AS lo FROM m),
+t AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY v DESC, c_custkey) AS k FROM (SELECT n_regionkey, c_custkey, max(o_totalprice) AS v {_SOLD})),
+f AS (SELECT n_regionkey, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY k) AS top FROM t WHERE k <= 5 GROUP BY 1)
+SELECT n_regionkey, string_agg(CAST(month AS VARCHAR), ',' ORDER BY hi) FILTER (hi <= 3) AS peak, string_agg(CAST(month AS VARCHAR), ',' ORDER BY lo) FILTER (lo <= 3) AS quiet, any_value(top) AS top
+FROM r JOIN f USING (n_regionkey) GROUP BY 1 HAVING count(*) >= 6""")
 def ag33(spark, sf):
+    """The five customers of a region with the dearest orders, and its three peak and three quiet months if it has six. The window's rank is cut to five before the shuffle."""
     rows = read(spark, sf, "orders").join(read(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(read(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     m = rows.groupBy("n_regionkey", F.month("o_orderdate").alias("month")).agg(F.round(F.avg("o_totalprice"), 2).alias("v"))
-    listed = lambda key: F.array_join(F.transform(F.slice(F.sort_array(F.collect_list(F.struct(key.alias("k"), "month"))), 1, 3), lambda s: s["month"].cast("string")), ",")
-    return m.groupBy("n_regionkey").agg(listed(-F.col("v")).alias("peak"), listed(F.col("v")).alias("quiet"), F.count(F.lit(1)).alias("n")).filter("n >= 6").drop("n")
+    listed = lambda key, of, most: F.array_join(F.transform(F.slice(F.sort_array(F.collect_list(F.struct(key.alias("k"), of))), 1, most), lambda s: s[of].cast("string")), ",")
+    months = m.groupBy("n_regionkey").agg(listed(-F.col("v"), "month", 3).alias("peak"), listed(F.col("v"), "month", 3).alias("quiet"), F.count(F.lit(1)).alias("n")).filter("n >= 6").drop("n")
+    best = rows.groupBy("n_regionkey", "c_custkey").agg(F.max("o_totalprice").alias("v"))
+    five = best.withColumn("rank", F.row_number().over(Window.partitionBy("n_regionkey").orderBy(F.desc("v"), "c_custkey"))).filter("rank <= 5")
+    return months.join(five.groupBy("n_regionkey").agg(listed(F.col("rank"), "c_custkey", 5).alias("top")), "n_regionkey")
 
 
 @query("ag39_crowd_level_of_day", f"WITH {Q}, d AS (SELECT park_id, CAST(lts AS DATE) AS day, quantile_cont(wait, 0.9) AS p FROM op GROUP BY 1, 2), b AS (SELECT park_id, quantile_cont(p, 0.5) AS base FROM d GROUP BY 1) SELECT d.park_id, strftime(day, '%Y-%m-%d') AS day, CASE WHEN x <= 60 THEN 'very_low' WHEN x <= 89 THEN 'low' WHEN x <= 110 THEN 'moderate' WHEN x <= 150 THEN 'high' WHEN x <= 200 THEN 'very_high' ELSE 'extreme' END AS level FROM (SELECT d.*, p / base * 100 AS x FROM d JOIN b USING (park_id)) d")
