@@ -172,10 +172,8 @@ def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.withColumn("agree", _agree("ub", "vb")).filter(F.col("agree") >= LEAST_BITS).select("u", "v", "agree")
 
 
-def _across(pairs: DataFrame, comps: DataFrame | None) -> DataFrame:
+def _across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     """Pairs between different components."""
-    if comps is None:
-        return pairs
     at = lambda k: comps.select(F.col("node").alias(k), F.col("component").alias(f"{k}c"))
     rows = pairs.join(at("u"), "u", "left").join(at("v"), "v", "left")
     return rows.filter(F.coalesce("uc", "u") != F.coalesce("vc", "v")).select("u", "v", "agree")
@@ -197,13 +195,14 @@ def _likeliest(pairs: DataFrame) -> DataFrame:
 
 
 def _resolve(pairs: DataFrame, sets: DataFrame, links: DataFrame | None, comps: DataFrame | None, rounds: int) -> tuple[DataFrame | None, DataFrame | None]:
-    """Confirm pairs until each lies inside a component or is refuted. links: star edges of the components so far."""
+    """Confirm pairs, a written table, until each lies inside a component or is refuted. links: star edges of the components so far."""
     left = pairs
     for k in range(rounds + 1):
-        left = materialize(_across(left, comps), "left")
+        if comps is not None:
+            left = materialize(_across(left, comps), "left")
         if left.isEmpty():
             break
-        now = materialize(_likeliest(left) if k < rounds else left.select("u", "v"), "now")
+        now = materialize(_likeliest(left), "now") if k < rounds else left.select("u", "v")
         new = materialize(_confirmed(now, sets), "links")
         if k < rounds:
             left = left.join(now, ["u", "v"], "left_anti")
