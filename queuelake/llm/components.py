@@ -8,21 +8,18 @@ from pyspark.sql import functions as F
 from .common import materialize, written
 
 
-def _settled(edges: DataFrame) -> bool:
-    """Whether the edges are stars: every node has one parent, and no parent has one. Stars that shared a component would share a node."""
-    up = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
-    down = edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
-    nodes = up.unionByName(down).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-    return nodes.filter((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).isEmpty()
+def _least(links: DataFrame) -> DataFrame:
+    """links (u, v) -> u, m, the least of u and its neighbours, open: whether u has a smaller neighbour and another one besides."""
+    ends = links.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most"))
+    return materialize(ends.select("u", F.least("u", "m").alias("m"), ((F.col("m") < F.col("u")) & (F.col("most") != F.col("m"))).alias("open")), "least")
 
 
-def _star(links: DataFrame, larger: bool) -> DataFrame:
+def _star(links: DataFrame, least: DataFrame, larger: bool) -> DataFrame:
     """links (u, v): every node u ties its neighbours to the least of them and itself: the larger ones, or the smaller ones and itself.
 
     The least neighbours are a written table, so the join is one of two shuffled sides, and AQE splits the links of a hub.
     """
-    least = materialize(links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-    tied = links.join(least, "u")
+    tied = links.join(least.select("u", "m"), "u")
     if larger:
         out = tied.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -37,20 +34,22 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     Edges with a null end are none; repeated edges count once; no edges give no rows; further columns are ignored.
 
     Every round is O(edges) work and shuffle, and rounds are about the logarithm of the longest path; each is cut off by a written table.
+    Edges are stars once no node is open (``_least``): who has a smaller neighbour has no other, so that one has larger neighbours only.
+    The table that shows it is the result.
     """
     with written() as w:
-        now = materialize(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        now = materialize(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges")
         for _ in range(most_rounds):
-            if _settled(now):
-                break
             both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
             with written() as step:
-                now = _star(_star(both, True), False)
+                least = _least(both)
+                if least.filter("open").isEmpty():
+                    step.keep(least)
+                    break
+                larger = _star(both, least, True)
+                now = _star(larger, _least(larger), False)
                 step.keep(now)
         else:
             raise RuntimeError("components didn't settle")
-        roots = now.select(F.col("v").alias("node")).distinct()
-        out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
-        out = materialize(out, "components")
-        w.keep(out)
-    return out
+        w.keep(least)
+    return least.select(F.col("u").alias("node"), F.col("m").alias("component"))

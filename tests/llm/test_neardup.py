@@ -28,6 +28,8 @@ def test_components(spark):
     got = components(spark.createDataFrame(edges, "u long, v long")).collect()
     assert {r.node: r.component for r in got} == want and len(got) == len(want)
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+    again = components(spark.createDataFrame([(1, 2), (2, 1), (1, 2), (3, 1), (9, 9), (8, 7), (None, 4), (4, None)], "u long, v long")).collect()  # stars from the start
+    assert sorted((r.node, r.component) for r in again) == [(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)]
 
 
 def shingles(text):
