@@ -366,6 +366,8 @@ def kept(docs: DataFrame) -> DataFrame:
         stays = materialize(stays.filter("not stays or n > 1").select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), "stays"), "stays")
         w.keep(stays)
     same = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_copy"))
-    once = docs.join(stays, same, "left_anti")
-    again = docs.join(stays.filter("stays"), same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.select(docs.columns).unionByName(again.select(docs.columns))
+    once = docs.join(stays, same, "left_anti").select(docs.columns)
+    again = stays.filter("stays")  # of rows that are repeated
+    if again.isEmpty():  # so the texts are shuffled once
+        return once
+    return once.unionByName(docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns))
