@@ -269,13 +269,24 @@ def round5(c: Column) -> Column:
     return (F.floor((c + 2.5) / 5) * 5).cast("int")
 
 
+def interpolated(values: Column, q: float) -> Column:
+    """The interpolated percentile of a sorted array, null if it is empty. One product and the sum are rounded together, as DuckDB does: F.percentile
+    rounds them apart, and where the exact value is half of a step, the last bit decides what round5 makes of it."""
+    at = (F.size(values) - 1) * F.lit(q)
+    low, high = (F.get(values, f(at).cast("int")).cast("double") for f in (F.floor, F.ceil))
+    part = at - F.floor(at)
+    fused = F.reflect(F.lit("java.lang.Math"), F.lit("fma"), low, 1 - part, high * part).cast("double")
+    return F.when(F.size(values) > 0, fused)
+
+
 def typical_waits(rollup: DataFrame, least_days: int = 20, weekend: tuple[int, ...] = (0, 6)) -> DataFrame:
     """P50 and P90 of a ride's daily peaks on weekdays and weekends (Sunday 0), and its record day, the latest on ties."""
     day = ride_day_peaks(rollup).withColumn("weekend", (F.dayofweek("day") - 1).isin(*weekend))
-    pct = lambda on, q: round5(F.percentile(F.when(on, F.col("peak")), F.lit(q)))
     free = F.col("weekend")
-    out = day.groupBy("entity_id").agg(F.count(F.lit(1)).alias("days"), *(pct(c, q).alias(f"{k}_p{int(q * 100)}") for k, c in (("weekday", ~free), ("weekend", free)) for q in (0.5, 0.9)), F.max("peak").alias("record"), F.date_format(F.max_by("day", F.struct("peak", "day")), "yyyy-MM-dd").alias("record_day"))
-    return out.filter(F.col("days") >= least_days)
+    peaks = lambda on: F.sort_array(F.collect_list(F.when(on, F.col("peak"))))
+    out = day.groupBy("entity_id").agg(F.count(F.lit(1)).alias("days"), peaks(~free).alias("weekday"), peaks(free).alias("weekend"), F.max("peak").alias("record"), F.date_format(F.max_by("day", F.struct("peak", "day")), "yyyy-MM-dd").alias("record_day"))
+    typical = (round5(interpolated(F.col(k), q)).alias(f"{k}_p{int(q * 100)}") for k in ("weekday", "weekend") for q in (0.5, 0.9))
+    return out.filter(F.col("days") >= least_days).select("entity_id", "days", *typical, "record", "record_day")
 
 
 @query("ag22_typical_waits", f"""WITH {Q}, {ROLLUP.format(least=1)}, d AS (SELECT entity_id, CAST(hour[:10] AS DATE) AS day, max(p90) AS peak FROM roll WHERE n >= 1 GROUP BY 1, 2), w AS (SELECT *, extract(dow FROM day) IN (0, 6) AS we FROM d)

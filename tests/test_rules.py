@@ -198,3 +198,28 @@ def test_search_takes_words_literally(spark):
 
     rows = spark.createDataFrame([("a+b ride",), ("the a+b",), ("aab",)], "name string")
     assert {r.name: r.tier for r in search(rows, "name", "a+b").collect() if r.tier < 4} == {"a+b ride": 1, "the a+b": 2}
+
+
+def test_typical_waits_round_halves_as_sql(spark):
+    """The exact P90 of the weekend is 42.5, that of the SQL's arithmetic 42.49999999999999."""
+    free = zip((6, 7, 13, 14, 20, 21, 27, 28), (13.0, 19.0, 20.0, 21.0, 25.0, 31.0, 35.0, 60.0))
+    rows = [(1, f"2024-01-{d:02} 10", p, 2) for d, p in free] + [(2, f"2024-01-{d:02} 10", 7.5, 2) for d in (2, 3)]
+    rows += [(2, "2024-01-04 11", 99.0, 1)]
+    got = rollup.typical_waits(spark.createDataFrame(rows, "entity_id long, hour string, p90 double, n long"), 2).orderBy("entity_id").collect()
+    assert [tuple(r) for r in got] == [(1, 8, None, None, 25, 40, 60.0, "2024-01-28"), (2, 2, 10, 10, None, None, 7.5, "2024-01-03")]
+
+
+def test_interpolated_equals_sql_to_the_bit(spark):
+    import random
+
+    import duckdb
+
+    draw = random.Random(2)
+    rows = [(g, [draw.randint(0, 2000) / 10 for _ in range(draw.randint(1, 30))]) for g in range(2000)] + [(2000, [])]
+    df = spark.createDataFrame(rows, "g int, v array<double>").withColumn("v", F.sort_array("v"))
+    got = [tuple(r) for r in df.select("g", *(rollup.interpolated(F.col("v"), q) for q in (0.5, 0.9))).orderBy("g").collect()]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (g INT, v DOUBLE[])")
+    con.executemany("INSERT INTO t VALUES (?, ?)", rows)
+    want = con.execute("SELECT g, quantile_cont(x, 0.5), quantile_cont(x, 0.9) FROM (SELECT g, unnest(v) AS x FROM t UNION ALL SELECT g, NULL FROM t) GROUP BY 1 ORDER BY 1").fetchall()
+    assert got == want
