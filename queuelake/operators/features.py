@@ -222,8 +222,10 @@ def fp34(spark, sf):
 
 
 def served_quantile(rows: DataFrame, keys: list[str], targets: tuple[float, float] = (0.5, 0.8)) -> DataFrame:
-    """rows (keys, alpha, value): the quantile nearest to each target, and how far the top lies above the first."""
-    pick = lambda t: F.min_by("value", F.struct(F.abs(F.col("alpha") - t), "alpha"))
+    """rows (keys, alpha, value): the quantile nearest to each target, the lower of two as near, and how far the top lies above the first. Rows without
+    a value don't count, one without alpha is the farthest."""
+    gap = lambda t: F.round(F.abs(F.col("alpha") - t), 6)
+    pick = lambda t: F.min_by("value", F.when(F.col("value").isNotNull(), F.struct(F.col("alpha").isNull(), gap(t), "alpha")))
     out = rows.groupBy(*keys).agg(pick(targets[0]).alias("wait"), pick(targets[1]).alias("crowd"), F.max("value").alias("top"))
     return out.select(*keys, "wait", "crowd", F.greatest(F.col("top") - F.col("wait"), F.lit(0.0)).alias("uncertainty"))
 

@@ -223,3 +223,10 @@ def test_interpolated_equals_sql_to_the_bit(spark):
     con.executemany("INSERT INTO t VALUES (?, ?)", rows)
     want = con.execute("SELECT g, quantile_cont(x, 0.5), quantile_cont(x, 0.9) FROM (SELECT g, unnest(v) AS x FROM t UNION ALL SELECT g, NULL FROM t) GROUP BY 1 ORDER BY 1").fetchall()
     assert got == want
+
+
+def test_served_quantile_ties_and_gaps(spark):
+    """0.7 and 0.9 are equally near to 0.8, though not in floating point; nulls are never the nearest."""
+    rows = [(1, 0.7, 7.0), (1, 0.9, 9.0), (1, 0.4, 4.0), (1, 0.6, 6.0), (2, 0.5, None), (2, 0.8, None), (2, 0.3, 3.0), (2, None, 1.0), (3, 0.5, None), (4, None, 2.0)]
+    got = features.served_quantile(spark.createDataFrame(rows, "k int, alpha double, value double"), ["k"]).orderBy("k").collect()
+    assert [tuple(r) for r in got] == [(1, 4.0, 7.0, 5.0), (2, 3.0, 3.0, 0.0), (3, None, None, 0.0), (4, 2.0, 2.0, 0.0)]
